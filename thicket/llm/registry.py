@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm.mixing import OP1_SQL, op1_mixing
+from thicket.llm.quality import op10_quality
+from thicket.llm.simhash import op2_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_simhash": op2_simhash,
+        "op10_quality": op10_quality,
     }
 
 
