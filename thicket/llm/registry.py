@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm.mixing import OP1_SQL, op1_mixing
 from thicket.llm.quality import op10_quality
+from thicket.llm.repeats import op9_repeats
 from thicket.llm.simhash import op2_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_simhash": op2_simhash,
+        "op9_repeats": op9_repeats,
         "op10_quality": op10_quality,
     }
 
