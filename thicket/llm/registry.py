@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thicket.llm.lines import OP4_SQL, op4_lines
 from thicket.llm.mixing import OP1_SQL, op1_mixing
+from thicket.llm.packing import op5_packing
 from thicket.llm.quality import op10_quality
 from thicket.llm.repeats import op9_repeats
 from thicket.llm.simhash import op2_simhash
+from thicket.llm.toxicity import op7_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +21,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_simhash": op2_simhash,
+        "op4_lines": op4_lines,
+        "op5_packing": op5_packing,
+        "op7_toxicity": op7_toxicity,
         "op9_repeats": op9_repeats,
         "op10_quality": op10_quality,
     }
@@ -26,4 +32,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": OP1_SQL,
+        "op4_lines": OP4_SQL,
     }
