@@ -13,6 +13,7 @@ from thicket.llm.quality import op10_quality
 from thicket.llm.repeats import op9_repeats
 from thicket.llm.simhash import op2_simhash
 from thicket.llm.toxicity import op7_toxicity
+from thicket.llm.warc import OP8_SQL, op8_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op4_lines": op4_lines,
         "op5_packing": op5_packing,
         "op7_toxicity": op7_toxicity,
+        "op8_warc": op8_warc,
         "op9_repeats": op9_repeats,
         "op10_quality": op10_quality,
     }
@@ -33,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": OP1_SQL,
         "op4_lines": OP4_SQL,
+        "op8_warc": OP8_SQL,
     }
