@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thicket.llm.licenses import op6_licenses
 from thicket.llm.lines import OP4_SQL, op4_lines
 from thicket.llm.mixing import OP1_SQL, op1_mixing
 from thicket.llm.packing import op5_packing
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op4_lines": op4_lines,
         "op5_packing": op5_packing,
+        "op6_licenses": op6_licenses,
         "op7_toxicity": op7_toxicity,
         "op8_warc": op8_warc,
         "op9_repeats": op9_repeats,
