@@ -43,6 +43,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ LAST = (1 << 63) - 1
 FILTER_BITS = 28
 #: Bytes of text for each task that gathers fingerprints, and parts sent to each.
 TASK_BYTES, PARTS = 1 << 26, 4
+#: Bytes of text whose phrases are sorted at once.
+PORTION = 12 << 20
 #: Documents with marks are told apart by a broadcast up to so many (16 bytes each); above, all texts move.
 TELL_MOST = 1_000_000
 SCHEMA = "part int, doc_id long, tag long, data binary"
@@ -165,12 +168,23 @@ def unpacked(data: bytes, kinds: str) -> Columns:
     return tuple(out)
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows of PORTION bytes of text, or one longer text."""
+    size = np.cumsum(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PORTION, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def scan(docs: DataFrame, f: Callable[[Batch], Iterator[dict | None]], window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in f(Batch(batch, window, gram)):
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+            for part in portions(batch):
+                for out in f(Batch(part, window, gram)):
+                    if out is not None:
+                        yield pa.RecordBatch.from_pydict(out)
 
     return docs.mapInArrow(run, SCHEMA)
 
