@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from thicket.llm.licenses import op6_licenses
 from thicket.llm.lines import OP4_SQL, op4_lines
+from thicket.llm.media import op3_media
 from thicket.llm.mixing import OP1_SQL, op1_mixing
 from thicket.llm.packing import op5_packing
 from thicket.llm.quality import op10_quality
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_simhash": op2_simhash,
+        "op3_media": op3_media,
         "op4_lines": op4_lines,
         "op5_packing": op5_packing,
         "op6_licenses": op6_licenses,
