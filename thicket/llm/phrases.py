@@ -112,6 +112,27 @@ class Phrases:
         self.key = self.check.of(self.trigger, self.trigger + gram)
         self.whole = self.hash(self.first, self.last + window, self.trigger)
 
+    def cells(self, pick: np.ndarray, width: int) -> "Phrases":
+        """The picked phrases in cells: windows whose distance to their trigger, divided by ``width``, is the same.
+
+        A cell's key is the hash of the bytes that all windows of a full cell
+        share, so a window occurs elsewhere only where its cell's key does.
+        """
+        first, last, trigger = self.first[pick], self.last[pick], self.trigger[pick]
+        low, high = (trigger - last) // width, (trigger - first) // width
+        n = high - low + 1
+        of = np.repeat(np.arange(len(n)), n)
+        cell = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out = object.__new__(Phrases)
+        out.window, out.start, out.order, out.check = self.window, self.start, self.order, self.check
+        out.trigger, out.text = trigger[of], self.text[pick][of]
+        out.first = np.maximum(first[of], out.trigger - (cell + 1) * width + 1)
+        out.last = np.minimum(last[of], out.trigger - cell * width)
+        core = out.trigger - cell * width
+        out.key = mixed(self.check.of(core, core - (width - 1) + self.window) + cell.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out.whole = out.hash(out.first, out.last + self.window, out.trigger)
+        return out
+
     def hash(self, start: np.ndarray, end: np.ndarray, trigger: np.ndarray) -> np.ndarray:
         """Of bytes and of where the trigger stands in them."""
         return mixed(self.order.of(start, end) + (trigger - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

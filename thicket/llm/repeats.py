@@ -12,14 +12,16 @@ kept in the order of 127-bit fingerprints and not of the bytes: which windows
 are equal, and which comes first in the corpus, is all that is asked, and an
 order of all suffixes by their bytes would have to move every suffix's bytes.
 
-The texts are scanned three times, and what moves is packed fingerprints:
+The texts are scanned four times, and what moves is packed fingerprints:
 
 1. each batch sends the keys (trigger grams) of its phrases once; keys in two
    batches, or with different phrases in one, are repeated;
 2. each batch sends its first phrase of every repeated key; a key whose
    phrases are all equal is settled, its later phrases are marked whole; the
    other keys are contested (their phrases agree in part at most);
-3. each batch sends the windows of its contested phrases, once each; of equal
+3. contested phrases are cut into cells of up to ``CELL`` windows that share a
+   core of bytes, and the cells are treated as the phrases were, by core;
+4. each batch sends the windows of its contested cells, once each; of equal
    windows the later ones are marked.
 
 Within a batch the later of equal phrases or windows are marked at once, so a
@@ -43,15 +45,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.phrases import BLOCK_BITS, Phrases
+from thicket.llm.phrases import BLOCK_BITS, Phrases, mixed
 from thicket.llm.texts import texts_of
 from thicket.scratch import materialize
 
-WINDOW, GRAM = 100, 56
+WINDOW, GRAM, CELL = 100, 56, 16
 LAST = (1 << 63) - 1
 #: Bits of a key filter at most: 32 MB.
 FILTER_BITS = 28
@@ -124,22 +126,26 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray, part: int) -> dict | None:
-    """Marked windows as one row a document: (start, count) pairs, those in a row made one."""
-    if not len(doc):
-        return None
+def merged(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> Columns:
+    """Marked windows in order, those in a row made one run."""
     order = np.lexsort((at, tag, doc))
-    doc, tag, at, n = doc[order], tag[order], at[order], n[order]
+    doc, tag, at, n = (x[order].astype(np.int64) for x in (doc, tag, at, n))
     new = changes(doc, tag)
+    # the furthest end so far; runs of other documents lie below by their number
+    base = np.cumsum(new) << 40
+    end = np.maximum.accumulate(base + at + n) if len(doc) else at
     gap = new.copy()
-    gap[1:] |= at[1:] > at[:-1] + n[:-1]
-    # pieces of a long text overlap by less than a window, so starts never repeat
+    gap[1:] |= (base + at)[1:] > end[:-1]
     start = np.flatnonzero(gap)
-    pairs = np.column_stack([at[start], np.append(at[start[1:] - 1] + n[start[1:] - 1], at[-1] + n[-1]) - at[start]]).astype(np.int64)
-    docs = np.flatnonzero(new[start])
-    data = [x.tobytes() for x in np.split(pairs, docs[1:])]
-    head = start[docs]
-    return {"part": pa.array(np.full(len(head), part, np.int32)), "doc_id": pa.array(doc[head]), "tag": pa.array(tag[head]), "data": pa.array(data, pa.binary())}
+    stop = end[np.append(start[1:], len(doc)) - 1] - base[start] if len(doc) else at
+    return doc[start], tag[start], at[start], stop - at[start]
+
+
+def marked(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> dict | None:
+    """Marks, packed by the part of their documents."""
+    doc, tag, at, n = merged(doc, tag, at, n)
+    out = sent((doc, tag.astype(np.uint32), at.astype(np.uint32), n.astype(np.uint32)), mixed(doc.view(np.uint64) + tag.astype(np.uint64)), parts)
+    return out and out | {"doc_id": pc.cast(out["part"], pa.int64())}
 
 
 def sent(columns: Columns, route: np.ndarray, parts: int) -> dict | None:
@@ -170,7 +176,7 @@ def unpacked(data: bytes, kinds: str) -> Columns:
 
 def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of the batch's rows of PORTION bytes of text, or one longer text."""
-    size = np.cumsum(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PORTION, "right")))
@@ -208,13 +214,27 @@ def gather(rows: DataFrame, tasks: int, kinds: str, f: Callable[[Columns], Itera
     return rows.repartition(tasks, "part").mapInArrow(run, SCHEMA)
 
 
-def phrase_columns(b: Batch, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Columns:
-    """key, whole, document, first start, windows of the batch's phrases."""
-    out = []
+def phrase_columns(blocks: Iterator[tuple[Phrases, np.ndarray, np.ndarray]]) -> Columns:
+    """key, whole, document, first start, windows of the blocks' phrases or cells."""
+    return joined([(p.key >> np.uint64(1), p.whole, doc, at, p.last - p.first + 1) for p, doc, at in blocks], "u8 u8 i8 i8 i8")
+
+
+def first_of(b: Batch, p: Phrases, doc: np.ndarray, at: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Of the picked phrases' equal ones in a block, those at the first place."""
+    pick = pick[np.lexsort((at[pick], b.ids[doc[pick]], p.whole[pick], p.key[pick]))]
+    return pick[firsts(changes(p.key[pick], p.whole[pick]), b.ids[doc[pick]], at[pick])]
+
+
+def cell_blocks(b: Batch, wanted: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray]]:
+    """The cells of the phrases with a wanted key."""
     for p, doc, at in b.blocks():
-        pick = slice(None) if wanted is None else wanted(p.key >> np.uint64(1))
-        out.append(tuple(c[pick] for c in (p.key >> np.uint64(1), p.whole, doc, at, p.last - p.first + 1)))
-    return joined(out, "u8 u8 i8 i8 i8")
+        pick = first_of(b, p, doc, at, np.flatnonzero(wanted(p.key >> np.uint64(1))))
+        if len(pick):
+            n = p.first[pick]
+            c = p.cells(pick, CELL)
+            of = np.searchsorted(np.sort(n), c.first, "right") - 1
+            back = np.argsort(n)[of]
+            yield c, doc[pick][back], at[pick][back] + c.first - n[back]
 
 
 def key_filter(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
@@ -267,8 +287,8 @@ def keys_row(keys: np.ndarray) -> dict | None:
     return {"part": pa.array([-1], pa.int32()), "doc_id": pa.nulls(1, pa.int64()), "tag": pa.nulls(1, pa.int64()), "data": pa.array([keys.tobytes()], pa.binary())}
 
 
-def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame | None:
-    """doc_id (null as LAST), tag (the text's CRC-32), data: runs of marked windows; None if there are none."""
+def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id (null as LAST), tag (the text's CRC-32), data: the marked windows as (start, count) pairs; one row a text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -282,7 +302,7 @@ def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         return key[new], n > 1
 
     def send_keys(b: Batch) -> Iterator[dict | None]:
-        key, whole, *_ = phrase_columns(b)
+        key, whole, *_ = phrase_columns(b.blocks())
         order = np.lexsort((whole, key))
         key, several = many(key[order], whole[order])
         yield sent(((key << np.uint64(1)) | several,), key << np.uint64(1), parts)
@@ -295,23 +315,18 @@ def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         last = new + n - 1
         yield keys_row(key[new][(n > 1) | ((x[last] if len(x) else x) & np.uint64(1) > 0)])
 
-    seen = materialize(gather(scan(docs, send_keys, window, gram), tasks, "u8", repeated), "repeated-keys")
-    is_repeated = key_filter(seen)
-
-    def send_phrases(b: Batch) -> Iterator[dict | None]:
-        # phrases that are repeated in this batch alone are settled here too
-        key, whole, doc, at, n = phrase_columns(b)
+    def send_firsts(b: Batch, columns: Columns, wanted: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[dict | None]:
+        """Marks for what is later in the batch; the first phrase (or cell) of each wanted key."""
+        key, whole, doc, at, n = columns
         ids, tags = b.ids[doc], b.tags[doc]
         order = np.lexsort((at, ids, whole, key))
         key, whole, ids, tags, at, n = (c[order] for c in (key, whole, ids, tags, at, n))
         first = firsts(changes(key, whole), ids, at)
-        yield runs(ids[~first], tags[~first], at[~first], n[~first], int(b.tags[0] % parts) if len(b.tags) else 0)
-        if is_repeated is None:
-            return
+        yield marked(ids[~first], tags[~first], at[~first], n[~first], parts)
         key, whole, ids, tags, at, n = (c[first] for c in (key, whole, ids, tags, at, n))
-        several = np.repeat(many(key, whole)[1], np.diff(np.append(np.flatnonzero(changes(key)), len(key)))) if len(key) else np.zeros(0, bool)
+        several = np.repeat(many(key, whole)[1], np.diff(np.append(np.flatnonzero(changes(key)), len(key))))
         # a key with different phrases goes once: it is contested whatever the others send
-        pick = is_repeated(key) & (~several | changes(key))
+        pick = (wanted(key) if wanted is not None else np.ones(len(key), bool)) & (~several | changes(key))
         key, whole, ids, tags, at, n, several = (c[pick] for c in (key, whole, ids, tags, at, n, several))
         yield sent(((key << np.uint64(1)) | several, whole, ids, tags.astype(np.uint32), at.astype(np.uint32), n.astype(np.uint8)), key << np.uint64(1), parts)
 
@@ -320,57 +335,69 @@ def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         order = np.lexsort((at, ids, whole, key >> np.uint64(1)))
         key, whole, ids, tags, at, n = (c[order] for c in (key, whole, ids, tags, at, n))
         several, key = key & np.uint64(1) > 0, key >> np.uint64(1)
-        first = firsts(changes(key, whole), ids, at)
-        yield runs(ids[~first & ~several], tags[~first & ~several].astype(np.int64), at[~first & ~several].astype(np.int64), n[~first & ~several].astype(np.int64), 0)
+        rest = ~firsts(changes(key, whole), ids, at) & ~several
+        yield marked(ids[rest], tags[rest], at[rest], n[rest], parts)
         new = np.flatnonzero(changes(key))
         if len(new):
             contested = (np.add.reduceat(changes(key, whole).astype(np.int64), new) > 1) | (np.add.reduceat(several.astype(np.int64), new) > 0)
             yield keys_row(key[new][contested])
 
-    settled = materialize(gather(scan(docs, send_phrases, window, gram), tasks, "u8 u8 i8 u4 u4 u1", settle), "settled")
+    def none(key: np.ndarray) -> np.ndarray:
+        return np.zeros(len(key), bool)
+
+    kinds = "u8 u8 i8 u4 u4 u1"
+    seen = materialize(gather(scan(docs, send_keys, window, gram), tasks, "u8", repeated), "repeated-keys")
+    is_repeated = key_filter(seen) or none  # phrases that are repeated in one batch alone are settled there
+    settled = materialize(gather(scan(docs, lambda b: send_firsts(b, phrase_columns(b.blocks()), is_repeated), window, gram), tasks, kinds, settle), "phrases")
     marks = settled.where("doc_id is not null")
     is_contested = key_filter(settled.where("doc_id is null"))
     if is_contested is not None:
-
-        def send_windows(b: Batch) -> Iterator[dict | None]:
-            out = []
-            for p, doc, at in b.blocks():
-                pick = np.flatnonzero(is_contested(p.key >> np.uint64(1)))
-                pick = pick[np.lexsort((at[pick], b.ids[doc[pick]], p.whole[pick], p.key[pick]))]
-                # of equal phrases in a block, those at the first place
-                pick = pick[firsts(changes(p.key[pick], p.whole[pick]), b.ids[doc[pick]], at[pick])]
-                n = (p.last - p.first + 1)[pick]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(p.first[pick], n) + step
-                out.append((p.order.of(start, start + window), p.check.of(start, start + window).astype(np.uint32), np.repeat(doc[pick], n), np.repeat(at[pick], n) + step))
-            one, two, doc, at = joined(out, "u8 u4 i8 i8")
-            ids, tags = b.ids[doc], b.tags[doc]
-            order = np.lexsort((at, ids, two, one))
-            one, two, ids, tags, at = (c[order] for c in (one, two, ids, tags, at))
-            first = firsts(changes(one, two), ids, at)
-            yield runs(ids[~first], tags[~first], at[~first], np.ones(int((~first).sum()), np.int64), int(b.tags[0] % parts) if len(b.tags) else 0)
-            yield sent_windows(one[first], two[first], ids[first], tags[first], at[first])
-
-        def sent_windows(one, two, ids, tags, at):
-            order = np.lexsort((at, tags, ids))
-            one, two, ids, tags, at = (c[order] for c in (one, two, ids, tags, at))
-            return sent((one, two, ids, tags.astype(np.uint32), at.astype(np.uint32)), one, parts)
-
-        def later(columns: Columns) -> Iterator[dict | None]:
-            one, two, ids, tags, at = columns
-            order = np.lexsort((at, ids, two, one))
-            one, two, ids, tags, at = (c[order] for c in (one, two, ids, tags, at))
-            rest = ~firsts(changes(one, two), ids, at)
-            yield runs(ids[rest], tags[rest].astype(np.int64), at[rest].astype(np.int64), np.ones(int(rest.sum()), np.int64), 0)
-
-        marks = marks.unionByName(materialize(gather(scan(docs, send_windows, window, gram), tasks, "u8 u4 i8 u4 u4", later), "windows"))
-    return marks.select("doc_id", "tag", "data")
-
-
-def cut(text: bytes, data: list[bytes], window: int) -> tuple[int, int, str]:
+        cells = materialize(gather(scan(docs, lambda b: send_firsts(b, phrase_columns(cell_blocks(b, is_contested)), None), window, gram), tasks, kinds, settle), "cells")
+        marks = marks.unionByName(cells.where("doc_id is not null"))
+        is_open = key_filter(cells.where("doc_id is null"))
+        if is_open is not None:
+
+            def send_windows(b: Batch) -> Iterator[dict | None]:
+                out = []
+                for c, doc, at in cell_blocks(b, is_contested):
+                    pick = first_of(b, c, doc, at, np.flatnonzero(is_open(c.key >> np.uint64(1))))
+                    n = (c.last - c.first + 1)[pick]
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    start = np.repeat(c.first[pick], n) + step
+                    out.append((c.order.of(start, start + window), c.check.of(start, start + window).astype(np.uint32), np.repeat(doc[pick], n), np.repeat(at[pick], n) + step))
+                one, two, doc, at = joined(out, "u8 u4 i8 i8")
+                ids, tags = b.ids[doc], b.tags[doc]
+                order = np.lexsort((at, ids, two, one))
+                one, two, ids, tags, at = (c[order] for c in (one, two, ids, tags, at))
+                first = firsts(changes(one, two), ids, at)
+                yield marked(ids[~first], tags[~first], at[~first], np.ones(int((~first).sum()), np.int64), parts)
+                one, two, ids, tags, at = (c[first] for c in (one, two, ids, tags, at))
+                order = np.lexsort((at, tags, ids))
+                yield sent(tuple(c[order] for c in (one, two, ids, tags.astype(np.uint32), at.astype(np.uint32))), one[order], parts)
+
+            def later(columns: Columns) -> Iterator[dict | None]:
+                one, two, ids, tags, at = columns
+                order = np.lexsort((at, ids, two, one))
+                one, two, ids, tags, at = (c[order] for c in (one, two, ids, tags, at))
+                rest = ~firsts(changes(one, two), ids, at)
+                yield marked(ids[rest], tags[rest], at[rest], np.ones(int(rest.sum()), np.int64), parts)
+
+            marks = marks.unionByName(materialize(gather(scan(docs, send_windows, window, gram), tasks, "u8 u4 i8 u4 u4", later), "windows"))
+
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = [unpacked(x.as_buffer().to_pybytes(), "i8 u4 u4 u4") for batch in batches for x in batch.column(1)]
+        doc, tag, at, n = merged(*joined(have, "i8 u4 u4 u4"))
+        if len(doc):
+            new = np.flatnonzero(changes(doc, tag))
+            data = [x.tobytes() for x in np.split(np.column_stack([at, n]), new[1:])]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[new]), "tag": pa.array(tag[new]), "data": pa.array(data, pa.binary())})
+
+    return materialize(marks.select("doc_id", "data").repartition(tasks, "doc_id").mapInArrow(by_document, "doc_id long, tag long, data binary"), "marks")
+
+
+def cut(text: bytes, data: bytes, window: int) -> tuple[int, int, str]:
     """Bytes removed, runs removed, SHA-256 of what is left."""
-    pairs = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2) for d in data])
-    pairs = pairs[np.argsort(pairs[:, 0])]
+    pairs = np.frombuffer(data, np.int64).reshape(-1, 2)
     start, end = pairs[:, 0], np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1 + window)
     new = np.ones(len(start), bool)
     new[1:] = start[1:] > end[:-1]
@@ -387,15 +414,14 @@ def cut(text: bytes, data: list[bytes], window: int) -> tuple[int, int, str]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     marks = marks_of(docs, window, gram)
-    by_doc = marks.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("_marks"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_place", F.coalesce("doc_id", F.lit(LAST))).withColumn("_tag", F.crc32("text"))
-    told = materialize(marks.select(F.col("doc_id").alias("_place"), F.col("tag").alias("_tag")).distinct(), "marked")
+    told = marks.select(F.col("doc_id").alias("_place"), F.col("tag").alias("_tag"))
     whole = None
     if told.count() <= TELL_MOST:
         whole = rows.join(F.broadcast(told), ["_place", "_tag"], "left_anti")
         rows = rows.join(F.broadcast(told), ["_place", "_tag"], "left_semi")
-    rows = rows.join(by_doc.toDF("_place", "_tag", "_marks"), ["_place", "_tag"], "left")
+    rows = rows.join(marks.toDF("_place", "_tag", "_marks"), ["_place", "_tag"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
