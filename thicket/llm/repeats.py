@@ -49,6 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.llm.parts import slots
 from thicket.llm.phrases import BLOCK_BITS, Phrases, mixed
 from thicket.llm.texts import texts_of
 from thicket.scratch import materialize
@@ -57,8 +58,8 @@ WINDOW, GRAM, CELL = 100, 56, 16
 LAST = (1 << 63) - 1
 #: Bits of a key filter at most: 32 MB.
 FILTER_BITS = 28
-#: Bytes of text for each task that gathers fingerprints, and parts sent to each.
-TASK_BYTES, PARTS = 1 << 26, 4
+#: Bytes of text for each task that gathers fingerprints.
+TASK_BYTES = 1 << 26
 #: Bytes of text whose phrases are sorted at once.
 PORTION = 12 << 20
 #: Documents with marks are told apart by a broadcast up to so many (16 bytes each); above, all texts move.
@@ -141,25 +142,25 @@ def merged(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray) -> C
     return doc[start], tag[start], at[start], stop - at[start]
 
 
-def marked(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> dict | None:
+def marked(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n: np.ndarray, parts: np.ndarray) -> dict | None:
     """Marks, packed by the part of their documents."""
     doc, tag, at, n = merged(doc, tag, at, n)
     out = sent((doc, tag.astype(np.uint32), at.astype(np.uint32), n.astype(np.uint32)), mixed(doc.view(np.uint64) + tag.astype(np.uint64)), parts)
     return out and out | {"doc_id": pc.cast(out["part"], pa.int64())}
 
 
-def sent(columns: Columns, route: np.ndarray, parts: int) -> dict | None:
-    """Packed columns by part; ``route`` is a hash whose upper bits choose it."""
+def sent(columns: Columns, route: np.ndarray, parts: np.ndarray) -> dict | None:
+    """Packed columns by part, a row for each of ``parts`` that gets any; ``route`` is a hash whose upper bits choose it."""
     if not len(route):
         return None
-    part = ((route >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
+    part = ((route >> np.uint64(40)) * np.uint64(len(parts)) >> np.uint64(24)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part, columns = part[order], tuple(c[order] for c in columns)
     cut = np.flatnonzero(changes(part))
     ends = np.append(cut[1:], len(part))
     data = [len_prefixed([c[a:b] for c in columns]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
     none = pa.nulls(len(cut), pa.int64())
-    return {"part": pa.array(part[cut]), "doc_id": none, "tag": none, "data": pa.array(data, pa.binary())}
+    return {"part": pa.array(parts[part[cut]]), "doc_id": none, "tag": none, "data": pa.array(data, pa.binary())}
 
 
 def len_prefixed(columns: list[np.ndarray]) -> bytes:
@@ -293,7 +294,7 @@ def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    parts = min(tasks * PARTS, 1 << 20)
+    parts = slots(min(tasks, 1 << 20))
 
     def many(key: np.ndarray, whole: np.ndarray) -> Columns:
         """Of phrases in order of key and whole: each key once and whether it has different phrases."""
@@ -392,7 +393,7 @@ def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             data = [x.tobytes() for x in np.split(np.column_stack([at, n]), new[1:])]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[new]), "tag": pa.array(tag[new]), "data": pa.array(data, pa.binary())})
 
-    return materialize(marks.select("doc_id", "data").repartition(tasks, "doc_id").mapInArrow(by_document, "doc_id long, tag long, data binary"), "marks")
+    return materialize(marks.select(F.col("doc_id").cast("int").alias("part"), "data").repartition(tasks, "part").mapInArrow(by_document, "doc_id long, tag long, data binary"), "marks")
 
 
 def cut(text: bytes, data: bytes, window: int) -> tuple[int, int, str]:
