@@ -138,7 +138,8 @@ def merge(indexes: list[Index]) -> Index:
         d = i.documents.withColumn("doc_id", F.col("doc_id") + base)
         postings = p if postings is None else postings.unionByName(p)
         documents = d if documents is None else documents.unionByName(d)
-        base += (i.documents.agg(F.max("doc_id")).first()[0] or -1) + 1
+        last = i.documents.agg(F.max("doc_id")).first()[0]
+        base += 0 if last is None else last + 1
     return Index(postings, documents, merge_term_statistics(*(i.term_stats for i in indexes)), merge_corpus_statistics(*(i.corpus for i in indexes)))
 
 

@@ -1,6 +1,613 @@
-"""Queries over the driver's tables, each with its SQL equivalent."""
+"""Queries over the driver's tables, each with its SQL equivalent where SQL can express it.
+
+Scores are rounded before they are ranked, so that sums taken in another order
+give the same ranking.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thicket.functions import text as X
+from thicket.functions.stopwords import STOP_WORDS
+from thicket.operators import aggregates as A
+from thicket.operators import evaluation as E
+from thicket.operators import index as I
+from thicket.operators import ltr as L
+from thicket.operators import models as M
+from thicket.operators import phrases as P
+from thicket.operators import ranking as R
+from thicket.operators import vectors as V
+from thicket.plans import querytree as Q
+from thicket.sources import html as H
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+TERMS = ("the", "nicht", "and")
+PHRASES = {"of the": ("of", "the"), "and the": ("and", "the"), "the of the": ("the", "of", "the")}
+DIGITS = 9
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return I.build(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def rounded(df: DataFrame, column: str = "score", digits: int = DIGITS) -> DataFrame:
+    return df.withColumn(column, F.round(column, digits))
+
+
+TOK = "regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[a-zªºà-öø-ÿ]+')"
+TF = f"""t AS (SELECT doc_id, unnest({TOK}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS doc_len FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY ALL),
+st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY ALL),
+co AS (SELECT count(*) AS n, sum(doc_len) AS t FROM dl)"""
+
+
+def ranked_sql(scored: str, k: int, by: str = "query_id") -> str:
+    return f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id) AS rank FROM ({scored})) WHERE rank <= {k}"
+
+
+# --- text and index -------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(len({TOK}) AS BIGINT) AS n_terms FROM documents")
+def tokenise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.size(X.tokenise(F.col("text"))), F.lit(0)).cast("long").alias("n_terms"))
+
+
+@query(f"WITH {TF} SELECT doc_id, term, tf FROM tf")
+def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.term_frequencies(I.term_rows(table(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {TF} SELECT term, df, CAST(cf AS BIGINT) AS cf FROM st")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).term_stats
+
+
+@query(f"WITH {TF} SELECT n AS n_docs, CAST(t AS BIGINT) AS n_tokens FROM co")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).corpus
+
+
+@query(f"WITH {TF} SELECT term, df, CAST(cf AS BIGINT) AS cf FROM st")
+def stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each language's documents, added up."""
+    docs = table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    parts = [I.term_statistics(I.term_frequencies(I.term_rows(docs.where(c)))) for c in (english, ~english)]
+    return I.merge_term_statistics(*parts)
+
+
+@query(f"WITH {TF}, v AS (SELECT DISTINCT unnest({TOK}) AS term FROM benchmark) SELECT term, df, CAST(cf AS BIGINT) AS cf FROM st SEMI JOIN v USING (term)")
+def vocab_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = table(spark, sf_dir, "benchmark").select(F.explode(X.tokenise(F.col("text"))).alias("term"))
+    return I.vocabulary_statistics(I.term_frequencies(I.term_rows(table(spark, sf_dir, "documents"))), vocabulary)
+
+
+@query(f"WITH {TF} SELECT term, df, CAST(cf AS BIGINT) AS cf FROM st WHERE term NOT IN ({', '.join(repr(w) for w in sorted(STOP_WORDS))})")
+def stopword_filtered_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.drop_stop_words(X.tokenise(F.col("text"))).alias("tokens"))
+    return I.term_statistics(I.term_frequencies(docs.select("doc_id", F.explode("tokens").alias("term"))))
+
+
+_PUNCTUATION_SQL = "translate(text, " + " || ".join(f"chr({ord(c)})" for c in X.PUNCTUATION) + f", repeat(' ', {len(X.PUNCTUATION)}))"
+_TOKENS_SQL = f"list_filter(regexp_split_to_array({_PUNCTUATION_SQL}, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter({_TOKENS_SQL}, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS BIGINT) AS doc_len FROM documents")
+def streaming_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's length before any token is dropped."""
+    words = X.split_words(X.strip_punctuation(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.size(F.filter(words, X.has_alphanumeric)), F.lit(0)).cast("long").alias("doc_len"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS raw FROM documents),
+f AS (SELECT doc_id, regexp_replace(lower(replace(raw, 'ß', 'ss')), '[^\\p{{L}}]', '', 'g') AS term FROM t WHERE length(raw) BETWEEN 3 AND 99)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM f WHERE term NOT IN ({', '.join(repr(w) for w in sorted(STOP_WORDS))}) GROUP BY term"""
+)
+def indexer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the indexing pipeline: positions, length bounds, folding, stop words."""
+    terms = X.index_terms(X.positioned(F.col("text")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms).alias("t")).select("doc_id", "t.term")
+    return I.term_statistics(I.term_frequencies(rows))
+
+
+@query(f"WITH {TF} SELECT term, doc_id, tf, CAST(doc_len AS BIGINT) AS doc_len FROM tf JOIN dl USING (doc_id) WHERE term IN {TERMS}")
+def postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.lookup(index(spark, sf_dir), list(TERMS)).select("term", "doc_id", "tf", "doc_len")
+
+
+@query(f"WITH {TF} SELECT doc_id, string_agg(term || ':' || tf, ' ' ORDER BY term) AS postings FROM tf WHERE term IN {TERMS} GROUP BY doc_id")
+def collect_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = I.collect_postings(index(spark, sf_dir).postings, list(TERMS))
+    return found.select("doc_id", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["term"], p["tf"].cast("string"))), " ").alias("postings"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {TOK} AS ts FROM documents), t AS (SELECT doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM a)
+SELECT term, doc_id, count(*) AS tf, string_agg(pos, ' ' ORDER BY pos) AS positions FROM t WHERE term IN {TERMS} GROUP BY ALL"""
+)
+def postings_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.tokenise(F.col("text"))).alias("token_pos", "term")).where(F.col("term").isin(*TERMS))
+    found = I.positional_postings(tokens.withColumn("char_pos", F.lit(None).cast("int")))
+    return found.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p["token_pos"].cast("string")), " ").alias("positions"))
+
+
+@query(
+    """WITH s AS (SELECT source AS segment, max(doc_id) + 1 AS n FROM documents GROUP BY source)
+SELECT segment, n, CAST(coalesce(sum(n) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM s"""
+)
+def segment_merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("segment"))
+    return I.segment_offsets(docs).select("segment", "n", "offset")
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {TOK} AS ts FROM documents), t AS (SELECT doc_id, unnest(ts) AS w, unnest(range(len(ts))) AS p FROM a),
+b AS (SELECT x.doc_id, x.p, x.w || ' ' || y.w AS phrase_id FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.p = x.p + 1 WHERE x.w IN ('of', 'and') AND y.w = 'the'),
+c AS (SELECT x.doc_id, x.p, 'the of the' AS phrase_id FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.p = x.p + 1 JOIN t z ON x.doc_id = z.doc_id AND z.p = x.p + 2 WHERE x.w = 'the' AND y.w = 'of' AND z.w = 'the')
+SELECT doc_id, phrase_id, CAST(p AS INTEGER) AS start FROM (SELECT * FROM b UNION ALL SELECT * FROM c)"""
+)
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenise(F.col("text")).alias("tokens"))
+    return P.overlapping(docs, P.phrase_table(spark, PHRASES)).select("doc_id", "phrase_id", "start")
+
+
+@query()
+def longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenise(F.col("text")).alias("tokens"))
+    return P.longest_matches(docs, P.phrase_table(spark, PHRASES)).where("phrase_id is not null")
+
+
+@query(
+    """WITH p AS (SELECT user_id AS doc_id, event_type AS term, count(*) AS tf FROM events GROUP BY ALL)
+SELECT doc_id, term, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS doc_len, count(*) OVER (PARTITION BY term) AS df, CAST(sum(tf) OVER (PARTITION BY term) AS BIGINT) AS cf FROM p"""
+)
+def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as documents and event types as the entities that they mention."""
+    made = I.entity_index(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("entity")))
+    return made.postings.join(made.documents, "doc_id").join(made.term_stats, "term").select("doc_id", "term", "tf", "doc_len", "df", "cf")
+
+
+# --- retrieval models ---------------------------------------------------------------------
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.explode(X.tokenise(F.col("text"))).alias("term"))
+    return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def one_query(spark: SparkSession) -> DataFrame:
+    return M.query_rows(spark, {"q": list(TERMS)})
+
+
+BM25_SQL = "sum(ln(1 + (co.n - st.df + 0.5) / (st.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.doc_len / (co.t / co.n))))"
+_BM25 = f"SELECT q.query_id, tf.doc_id, round({BM25_SQL}, 9) AS score FROM q JOIN tf USING (term) JOIN st USING (term) JOIN dl USING (doc_id), co GROUP BY ALL"
+_ONE = f"q AS (SELECT 'q' AS query_id, unnest({list(TERMS)}) AS term)"
+_MANY = f"q AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS query_id, unnest({TOK}) AS term FROM benchmark)"
+
+
+@query(f"WITH {TF}, {_ONE} {ranked_sql(_BM25, 10)}")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rank(rounded(M.bm25(index(spark, sf_dir), one_query(spark))), 10)
+
+
+@query(f"WITH {TF}, {_MANY} {ranked_sql(_BM25, 10)}")
+def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rank(rounded(M.bm25(index(spark, sf_dir), benchmark_queries(spark, sf_dir))), 10)
+
+
+_TFIDF = "SELECT q.query_id, tf.doc_id, round(sum(tf.tf * ln(co.n / (1 + st.df))), 9) AS score FROM q JOIN tf USING (term) JOIN st USING (term), co GROUP BY ALL"
+
+
+@query(f"WITH {TF}, {_ONE} {ranked_sql(_TFIDF, 20)}")
+def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.rank(rounded(M.tf_idf(index(spark, sf_dir), one_query(spark))), 20)
+
+
+def _likelihood(p: str, queries: str) -> str:
+    """Candidates x query terms; absent terms have tf 0."""
+    return f"""WITH {TF}, {queries}, c AS (SELECT DISTINCT query_id, doc_id FROM q JOIN tf USING (term)),
+s AS (SELECT c.query_id, c.doc_id, sum(CASE WHEN {p} > 0 THEN ln({p}) ELSE '-inf'::DOUBLE END) AS raw
+FROM c JOIN q USING (query_id) JOIN dl ON dl.doc_id = c.doc_id LEFT JOIN tf ON tf.doc_id = c.doc_id AND tf.term = q.term LEFT JOIN st ON st.term = q.term, co GROUP BY ALL)
+""" + ranked_sql("SELECT query_id, doc_id, round(raw, 9) AS score FROM s WHERE raw > '-inf'::DOUBLE", 10)
+
+
+_TFD, _LEN, _BG = "coalesce(tf.tf, 0)::DOUBLE", "dl.doc_len::DOUBLE", "(coalesce(st.cf, 0) / co.t)"
+
+
+def likelihood(spark: SparkSession, sf_dir: str, smoothing) -> DataFrame:
+    return R.rank(rounded(R.finite(M.query_likelihood(index(spark, sf_dir), one_query(spark), smoothing))), 10)
+
+
+@query(_likelihood(f"({_TFD} / {_LEN})", _ONE))
+def ql_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold all terms; the others' score is minus infinity."""
+    return likelihood(spark, sf_dir, M.NoSmoothing())
+
+
+@query(_likelihood(f"(({_TFD} + 1000 * {_BG}) / ({_LEN} + 1000))", _ONE))
+def ql_dirichlet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood(spark, sf_dir, M.Dirichlet(1000.0))
+
+
+@query(_likelihood(f"(({_TFD} + 1) / ({_LEN} + 2))", _ONE))
+def ql_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood(spark, sf_dir, M.Laplace())
+
+
+@query(_likelihood(f"(0.6 * {_TFD} / {_LEN} + 0.4 * {_BG})", _ONE))
+def ql_jm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood(spark, sf_dir, M.JelinekMercer(0.6))
+
+
+@query(
+    f"""WITH {TF}, {_ONE}, r AS ({ranked_sql(_BM25, 10)}), len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY ALL),
+b AS (SELECT term, sum(r.score * tf.tf / len.n) AS w FROM r JOIN tf USING (doc_id) JOIN len USING (doc_id) GROUP BY ALL),
+w AS (SELECT term, round(w / sum(w) OVER (), 9) AS weight FROM b)
+SELECT 'q' AS query_id, term, weight FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, term) AS k FROM w) WHERE k <= 50"""
+)
+def rm1_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 heaviest terms of the ten best documents' relevance model."""
+    built = index(spark, sf_dir)
+    best = R.rank(rounded(M.bm25(built, one_query(spark))), 10)
+    terms = rounded(M.relevance_model(best, built.postings), "weight")
+    return R.rank(terms, 50, score="weight", tie=("term",)).select("query_id", "term", "weight")
+
+
+# --- rankings and their evaluation --------------------------------------------------------
+
+
+@query(f"WITH {TF} SELECT doc_id, term, tf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM tf) WHERE rank <= 3")
+def top_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tf = I.term_frequencies(I.term_rows(table(spark, sf_dir, "documents")))
+    return R.rank(tf, 3, by=("doc_id",), score="tf", tie=("term",))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def longest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_k(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "n_chars")
+
+
+_RUNS = f"a AS ({ranked_sql(_BM25, 20)}), b AS ({ranked_sql(_TFIDF, 20)})"
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    built = index(spark, sf_dir)
+    return [R.rank(rounded(m(built, one_query(spark))), 20) for m in (M.bm25, M.tf_idf)]
+
+
+@query(f"WITH {TF}, {_ONE}, {_RUNS}, u AS (SELECT query_id, doc_id, score FROM a UNION ALL SELECT query_id, doc_id, score FROM b) " + ranked_sql("SELECT query_id, doc_id, score, 'merged' AS method FROM u WHERE score <> 0", 15))
+def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = [r.select("query_id", F.col("doc_id"), "score") for r in two_runs(spark, sf_dir)]
+    merged = R.merge_runs(runs, 15, "merged")
+    return merged.select("query_id", "doc_id", "score", "method", "rank")
+
+
+@query(f"WITH {TF}, {_ONE}, {_RUNS}, u AS (SELECT query_id, doc_id, score FROM a WHERE rank <= 8 UNION ALL SELECT query_id, doc_id, score FROM b WHERE rank <= 8) " + ranked_sql("SELECT query_id, 'p' AS param_set, doc_id, score FROM u", 12, "query_id, param_set"))
+def merge_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = [r.select("query_id", F.lit("p").alias("param_set"), "doc_id", "score") for r in two_runs(spark, sf_dir)]
+    return R.merge_cut(runs, 8, 12)
+
+
+@query(f"WITH {TF}, {_ONE}, r AS ({ranked_sql(_BM25, 20)}) " + ranked_sql("SELECT query_id, doc_id, -score AS score FROM r", 20))
+def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = R.rank(rounded(M.bm25(index(spark, sf_dir), one_query(spark))), 20)
+    return R.rescore(best, -F.col("score"))
+
+
+def length_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as queries; a document's length is its score."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), "doc_id", F.col("n_chars").cast("double").alias("score"), F.col("source").alias("method"))
+    return R.rank(docs)
+
+
+def lang_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("query_id")), "doc_id")
+    return labels.select("query_id", "doc_id", F.col("quality").alias("relevance"))
+
+
+_RUN = """r AS (SELECT lang AS query_id, doc_id, CAST(n_chars AS DOUBLE) AS score, source AS method, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+rel AS (SELECT DISTINCT lang AS query_id, doc_id FROM labels JOIN documents USING (doc_id) WHERE quality >= 1),
+tot AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL),
+h AS (SELECT r.*, tot.n, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS i FROM r JOIN rel USING (query_id, doc_id) JOIN tot USING (query_id))"""
+
+
+@query(f"WITH {_RUN} SELECT query_id, n AS n_relevant, round(sum(i / rank) / n, 9) AS average_precision, round(count(*) FILTER (rank <= n) / n, 9) AS r_precision, round(1 / min(rank), 9) AS reciprocal_rank FROM h GROUP BY query_id, n")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.measures(length_run(spark, sf_dir), lang_qrels(spark, sf_dir)).where("n_relevant > 0")
+    return found.select("query_id", "n_relevant", *(F.round(c, 9).alias(c) for c in ("average_precision", "r_precision", "reciprocal_rank")))
+
+
+@query(f"WITH {_RUN}, ap AS (SELECT q.query_id, coalesce(sum(i / rank) / any_value(n), 0) AS ap FROM (SELECT DISTINCT query_id FROM r) q LEFT JOIN h USING (query_id) GROUP BY ALL) SELECT round(avg(ap), 9) AS map FROM ap")
+def mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.mean_average_precision(length_run(spark, sf_dir), lang_qrels(spark, sf_dir)), "map")
+
+
+_METHODS = """r AS (SELECT lang AS query_id, doc_id, source AS method, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+rel AS (SELECT DISTINCT lang AS query_id, doc_id FROM labels JOIN documents USING (doc_id) WHERE quality >= 1),
+tot AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL),
+h AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id, method ORDER BY rank) AS i FROM r JOIN rel USING (query_id, doc_id)),
+k AS (SELECT DISTINCT query_id, method FROM r),
+ap AS (SELECT k.query_id, k.method, coalesce(sum(i / rank), 0) / any_value(n) AS ap FROM k JOIN tot USING (query_id) LEFT JOIN h ON h.query_id = k.query_id AND h.method = k.method GROUP BY ALL)"""
+
+
+@query(f"WITH {_METHODS} SELECT method, round(avg(ap), 9) AS map, count(*) AS n_queries FROM ap GROUP BY method")
+def map_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = R.rank(length_run(spark, sf_dir).drop("rank"), by=("query_id", "method"))
+    return rounded(E.map_by_method(run, lang_qrels(spark, sf_dir)), "map")
+
+
+@query(f"WITH {_RUN} SELECT r.query_id, r.doc_id, CAST(rank AS INTEGER) AS rank, CAST(sum(CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END) OVER w AS BIGINT) AS n_hits, round(sum(CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END) OVER w / rank, 9) AS precision FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.doc_id = rel.doc_id WINDOW w AS (PARTITION BY r.query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)")
+def running_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.prefix_precision(length_run(spark, sf_dir), lang_qrels(spark, sf_dir))
+    return found.select("query_id", "doc_id", "rank", "n_hits", F.round("precision", 9).alias("precision"))
+
+
+@query("SELECT d.lang AS query_id, d.doc_id, coalesce(l.quality, 0) AS relevance FROM documents d LEFT JOIN labels l USING (doc_id)")
+def qrel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.with_judgements(length_run(spark, sf_dir), lang_qrels(spark, sf_dir)).select("query_id", "doc_id", "relevance")
+
+
+@query("SELECT lang AS query_id, doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def unjudged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.unjudged(length_run(spark, sf_dir), lang_qrels(spark, sf_dir)).select("query_id", "doc_id")
+
+
+def assessors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, sf_dir, "labels")
+    return tuple(labels.select(F.col("doc_id").alias("subject"), F.col(c).alias("category")) for c in ("quality", "toxic"))
+
+
+_PAIRS = "p AS (SELECT quality AS a, toxic AS b, CAST(count(*) AS DOUBLE) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS n FROM p), na AS (SELECT a AS c, sum(n) AS n FROM p GROUP BY ALL), nb AS (SELECT b AS c, sum(n) AS n FROM p GROUP BY ALL)"
+
+
+@query(f"WITH {_PAIRS}, o AS (SELECT sum(p.n) FILTER (a = b) / any_value(t.n) AS po FROM p, t), e AS (SELECT sum(na.n * nb.n) / any_value(t.n * t.n) AS pe FROM na JOIN nb USING (c), t) SELECT round(1 - (1 - po) / (1 - pe), 9) AS kappa FROM o, e")
+def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.cohen_kappa(*assessors(spark, sf_dir)), "kappa")
+
+
+@query(f"WITH {_PAIRS}, o AS (SELECT coalesce(sum(p.n) FILTER (a = 1 AND b = 1), 0) / any_value(t.n) AS po FROM p, t), e AS (SELECT coalesce(sum(na.n * nb.n), 0) / any_value(t.n * t.n) AS pe FROM na JOIN nb USING (c), t WHERE c = 1) SELECT round(1 - (1 - po) / (1 - pe), 9) AS kappa FROM o, e")
+def cohen_kappa_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.cohen_kappa_classes(*assessors(spark, sf_dir), [[1]]), "kappa")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, quality AS c FROM labels UNION ALL SELECT doc_id, toxic FROM labels), x AS (SELECT doc_id, c, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY ALL),
+s AS (SELECT doc_id, sum(n) AS ni, sum(n * n) AS i FROM x GROUP BY ALL HAVING sum(n) > 1), o AS (SELECT avg((i / ni - 1) / (ni - 1)) AS p FROM s),
+j AS (SELECT c, sum(n) AS n FROM x SEMI JOIN s USING (doc_id) GROUP BY ALL), e AS (SELECT sum(n * n) / (sum(n) * sum(n)) AS pe FROM j)
+SELECT round((p - pe) / (1 - pe), 9) AS kappa FROM o, e"""
+)
+def fleiss_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = assessors(spark, sf_dir)
+    return rounded(E.fleiss_kappa(a.withColumn("assessor", F.lit("a")).unionByName(b.withColumn("assessor", F.lit("b")))), "kappa")
+
+
+# --- aggregates ---------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(least(floor((n_chars - 0) / 250.0), 39) AS INTEGER) AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 10000 GROUP BY ALL")
+def hist_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.histogram(table(spark, sf_dir, "documents"), "n_chars", A.linear(40, 0, 10000))
+
+
+@query("WITH b AS (SELECT unnest(range(10))::INTEGER AS bin), h AS (SELECT CAST(least(floor((ln(n_chars) - ln(10)) / ((ln(100000) - ln(10)) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 10 AND 100000 GROUP BY ALL) SELECT bin, coalesce(n, 0) AS n FROM b LEFT JOIN h USING (bin)")
+def hist_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bins, those without documents too."""
+    bins = A.logarithmic(10, 10, 100000)
+    return A.all_bins(A.histogram(table(spark, sf_dir, "documents"), "n_chars", bins), bins).select("bin", "n")
+
+
+@query("SELECT CAST(l_quantity - 1 AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 51 GROUP BY ALL")
+def hist_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", A.integral(50, 1))
+
+
+@query("SELECT CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars > 5000 THEN 'high' ELSE 'in' END AS place, CASE WHEN n_chars BETWEEN 500 AND 5000 THEN CAST(least(floor((n_chars - 500) / 450.0), 9) AS INTEGER) END AS bin, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY ALL")
+def hist_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.bounded_histogram(table(spark, sf_dir, "documents"), "n_chars", A.linear(10, 500, 5000))
+
+
+@query("SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def mean_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of two halves of the events' users, added up."""
+    events = table(spark, sf_dir, "events")
+    cut = F.coalesce(F.col("value") > 10, F.lit(False))
+    parts = [A.mean_parts(events.where(c), "value", ("event_type",)) for c in (cut, ~cut)]
+    return A.mean_of(A.merge_means(*parts, by=("event_type",))).select("event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+@query("WITH a AS (SELECT lang, event AS key, sum(w) AS weight FROM (SELECT lang, source AS event, 1.0 AS w FROM documents) GROUP BY ALL) SELECT lang, key, round(weight / sum(weight) OVER (PARTITION BY lang), 9) AS weight FROM a")
+def bag_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's documents by source; the weights of a language add up to 1."""
+    return rounded(A.normed_list(table(spark, sf_dir, "documents"), "source", ("lang",)), "weight")
+
+
+@query("SELECT source AS key, CAST(sum(CASE WHEN lang = 'en' THEN 2.0 ELSE 0.5 END) AS DOUBLE) AS weight FROM documents GROUP BY ALL")
+def bag_weighted_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return A.weighted_union((2.0, A.bag(docs.where(english), "source")), (0.5, A.bag(docs.where(~english), "source")))
+
+
+@query("WITH m AS (SELECT event_type AS key, json_extract(props, '$.k')::BIGINT AS v FROM events) SELECT key, CAST(sum(v) AS BIGINT) AS value FROM m GROUP BY ALL")
+def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = table(spark, sf_dir, "events").select(F.create_map("event_type", F.get_json_object("props", "$.k").cast("long")).alias("m"))
+    return A.merge_maps(maps, "m")
+
+
+@query("WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS dq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS dp FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - mq) / CASE WHEN dq = 0 THEN 1 ELSE dq END, 6) AS z_quantity, round((l_extendedprice - mp) / CASE WHEN dp = 0 THEN 1 ELSE dp END, 6) AS z_price FROM lineitem, s")
+def znorm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")).alias("features"))
+    z = A.z_normalised(rows, A.mean_and_deviation(rows))
+    return z.select("l_orderkey", "l_linenumber", F.round(F.col("features")[0], 6).alias("z_quantity"), F.round(F.col("features")[1], 6).alias("z_price"))
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS index FROM events")
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running number in each user's events."""
+    return A.numbered(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ("ts", "event_id"), ("user_id",)).select("event_id", "user_id", F.col("index").cast("long").alias("index"))
+
+
+# --- vectors ------------------------------------------------------------------------------------
+
+
+@query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * q.e[i]::DOUBLE)), 5) AS score FROM embeddings, q) SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 20")
+def embedding_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("asked"))
+    scored = rows.crossJoin(F.broadcast(asked.limit(1))).select("vec_id", F.round(X.vector_dot(F.col("embedding"), F.col("asked")), 5).alias("score"))  # one row
+    return R.top_k(scored, 20, tie=("vec_id",))
+
+
+@query("WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings) SELECT label, CAST(pos AS INTEGER) AS pos, round(sum(x), 4) AS x FROM e GROUP BY ALL")
+def embedding_sum_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    dim = V.dimension(rows, "embedding")
+    summed = V.sums(rows, ("label",), dim, "embedding")
+    return summed.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("x"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first FROM embeddings")
+def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rows.select("vec_id", F.round(X.vector_norm(F.col("v")), 5).alias("norm"), F.round(X.vector_unit(F.col("v"))[0], 5).alias("first"))
+
+
+@query(f"WITH {TF}, top AS (SELECT term, row_number() OVER (ORDER BY cf DESC, term) - 1 AS vec_id FROM st), k AS (SELECT term, vec_id FROM top WHERE vec_id < 100), v AS (SELECT k.term, unnest(e.embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM k JOIN embeddings e USING (vec_id)) SELECT d.doc_id, round(coalesce(sum(x), 0), 3) AS total FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN v ON v.term = t.term GROUP BY ALL")
+def embedded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent terms have vectors; a document's are added up, here to their elements' total."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenise(F.col("text")).alias("terms"))
+    stats = index(spark, sf_dir).term_stats
+    top = A.numbered(R.top_k(stats, 100, "cf", ("term",)), (F.col("cf").desc(), F.col("term")), name="vec_id")
+    embedding = table(spark, sf_dir, "embeddings").join(top, "vec_id").select("term", F.col("embedding").alias("vec"))
+    made = V.embed_terms(docs, embedding)
+    return made.select("doc_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+# --- learning to rank ----------------------------------------------------------------------------
+
+
+def length_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id (lang), doc_id, features: length, lines and doc_id, scaled; relevance is the quality label."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.regexp_count("text", F.lit("\n")).cast("double")
+    rows = docs.select(F.col("lang").alias("query_id"), "doc_id", F.array((F.col("n_chars") / 1000.0).cast("double"), lines / 10, F.col("doc_id") / 1000.0).alias("features"))
+    return L.with_relevance(rows, lang_qrels(spark, sf_dir))
+
+
+@query("WITH s AS (SELECT lang AS query_id, doc_id, round(n_chars / 1000.0 * 0.5 - (length(text) - length(replace(text, chr(10), ''))) / 10.0 * 0.25 + doc_id / 1000.0 * 0.125, 6) AS score FROM documents) " + ranked_sql("SELECT * FROM s", 30))
+def ltr_linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = L.Model(L.Space(("chars", "lines", "place")), (0.5, -0.25, 0.125))
+    scored = length_features(spark, sf_dir).select("query_id", "doc_id", F.round(L.dot(F.col("features"), model.weights), 6).alias("score"))
+    return R.rank(scored, 30)
+
+
+@query("SELECT lang AS query_id, doc_id, CAST(n_chars AS DOUBLE) AS f_chars, 0 - CAST(doc_id AS DOUBLE) AS f_place FROM documents")
+def ltr_features_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), "doc_id", "n_chars")
+    runs = {"chars": docs.withColumn("score", F.col("n_chars").cast("double")), "place": docs.withColumn("score", F.lit(0.0) - F.col("doc_id"))}
+    _, rows = L.features_of_runs(runs)
+    return rows.select("query_id", "doc_id", F.col("features")[0].alias("f_chars"), F.col("features")[1].alias("f_place"))
+
+
+@query("WITH q AS (SELECT DISTINCT source AS query_id FROM documents), n AS (SELECT count(*) AS n FROM q), s AS (SELECT CASE WHEN n >= 6 THEN n // 3 + 1 ELSE n // 3 END AS size FROM n) SELECT query_id, CAST((row_number() OVER (ORDER BY query_id) - 1) // size AS INTEGER) AS fold FROM q, s")
+def sequential_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.fold_numbers(table(spark, sf_dir, "documents").select(F.col("source").alias("query_id")), 3)
+
+
+@query()
+def coord_ascent_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights learned from the quality labels, and their mean average precision."""
+    data = length_features(spark, sf_dir)
+    space = L.Space(("chars", "lines", "place"))
+    model, score = L.learn(space, data, L.totals_of(data), drop=0, most=2)
+    return spark.createDataFrame([(n, w, score) for n, w in zip(space.names, model.weights, strict=True)], "feature string, weight double, map double")
+
+
+# --- pages and query trees --------------------------------------------------------------------
+
+
+@query("SELECT page_id, (lower(substr(html, 1, 200)) LIKE '%<html%' OR lower(substr(html, 1, 200)) LIKE '%<!doctype%') AS is_html FROM pages")
+def html_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.looks_like_html(F.col("html")).alias("is_html"))
+
+
+@query()
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.clean_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+TREE = """[{"name": "q1", "child": {"type": "aggregator", "op": "sum", "name": "all", "record": true, "children": [
+  {"type": "constant", "value": 0.25},
+  {"type": "scale", "scalar": "{{w}}", "child": {"type": "scoring_model", "field": "text", "terms": ["the", {"term": "and the", "weight": 2}],
+    "retrieval_model": {"type": "ql", "smoothing": {"type": "dirichlet", "mu": 50}}}},
+  {"type": "if", "terms": ["nicht"], "true_child": {"type": "constant", "value": 0.5}, "false_child": {"type": "drop"}}]}},
+ {"name": "q2", "child": {"type": "feature", "name": "w", "isLog": true, "child": {"type": "scoring_model", "field": "text", "terms": ["nicht", "with"],
+    "retrieval_model": {"type": "ql", "smoothing": {"type": "jm", "alpha_foreground": 3, "alpha_background": 1}}}}}]"""
+SETTINGS = """[{"name": "light", "params": [{"name": "w", "value": 2}]}, {"name": "heavy", "params": [{"name": "w", "value": -3}]}]"""
+
+
+def tree_results(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    queries, settings = Q.parse_queries(TREE), Q.parse_parameters(SETTINGS)
+    docs = Q.prepared(tree_documents(spark, sf_dir))
+    vocabulary = set().union(*(Q.field_terms(q, "text") for q in queries.values()))
+    return Q.score(docs, queries, settings, n, Q.background(*Q.corpus_statistics(docs, vocabulary), vocabulary))
+
+
+def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("archive"), F.col("doc_id").cast("string").alias("doc_name"), "text")
+
+
+_FOLDED = "regexp_replace(lower(replace(raw, 'ß', 'ss')), '[^\\p{L}]', '', 'g')"
+_TREE_SQL = f"""WITH a AS (SELECT doc_id, {_TOKENS_SQL} AS ts FROM documents), dl AS (SELECT doc_id, len(list_filter(ts, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')))::DOUBLE AS n FROM a),
+w AS (SELECT doc_id, unnest(ts) AS raw, unnest(range(len(ts))) AS p FROM a), k AS (SELECT doc_id, {_FOLDED} AS term, p FROM w),
+z AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM k WHERE length(term) > 2),
+c AS (SELECT doc_id, count(*) FILTER (term = 'the')::DOUBLE AS the, count(*) FILTER (term = 'nicht')::DOUBLE AS nicht, count(*) FILTER (term = 'with')::DOUBLE AS wit FROM z GROUP BY ALL),
+ph AS (SELECT x.doc_id, count(*)::DOUBLE AS n FROM z x JOIN z y ON x.doc_id = y.doc_id AND y.i = x.i + 1 WHERE x.term = 'and' AND y.term = 'the' GROUP BY ALL),
+f AS (SELECT c.*, coalesce(ph.n, 0) AS phrase, dl.n AS len FROM c JOIN dl USING (doc_id) LEFT JOIN ph USING (doc_id)),
+g AS (SELECT (SELECT sum(n) FROM dl) AS t, sum(the) AS the, sum(phrase) AS phrase, sum(nicht) AS nicht, sum(wit) AS wit FROM f),
+s AS (SELECT f.*, exp(ln((f.the + 50 * g.the / t) / (len + 50)) + 2 * ln((f.phrase + 50 * g.phrase / t) / (len + 50))) AS q1,
+  ln(0.75 * f.nicht / len + 0.25 * g.nicht / t) + ln(0.75 * f.wit / len + 0.25 * g.wit / t) AS q2 FROM f, g),
+r AS (SELECT 'q1' AS query_id, 'light' AS param_set, doc_id, round(0.25 + 2 * q1 + 0.5, 9) AS score FROM s WHERE the + phrase > 0 AND nicht > 0
+ UNION ALL SELECT 'q1', 'heavy', doc_id, round(0.25 - 3 * q1 + 0.5, 9) FROM s WHERE the + phrase > 0 AND nicht > 0
+ UNION ALL SELECT 'q2', 'light', doc_id, round(2 * q2, 9) FROM s WHERE nicht + wit > 0 UNION ALL SELECT 'q2', 'heavy', doc_id, round(-3 * q2, 9) FROM s WHERE nicht + wit > 0)
+SELECT query_id, param_set, doc_id, score FROM r"""
+
+
+@query(_TREE_SQL)
+def querytree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trees with two parameter sets: sum, scale, likelihood with a phrase, if and drop, feature."""
+    found = tree_results(spark, sf_dir, 1 << 30)
+    return found.select("query_id", "param_set", "doc_id", F.round("score", 9).alias("score"))
+
+
+@query()
+def results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of each query and parameter set with highlights, as one JSON object."""
+    best = tree_results(spark, sf_dir, 10)
+    return Q.results_json(Q.with_postings(best, tree_documents(spark, sf_dir), Q.parse_queries(TREE)))
