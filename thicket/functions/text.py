@@ -85,6 +85,12 @@ def index_terms(tokens: Column, stop: frozenset[str] = STOP_WORDS) -> Column:
     return F.filter(terms, lambda x: ~x["term"].isin(sorted(stop)))
 
 
+def index_words(text: Column, stop: frozenset[str] = STOP_WORDS) -> Column:
+    """The terms of ``index_terms`` without positions, all in the JVM."""
+    sized = F.filter(split_words(strip_punctuation(text)), lambda t: F.length(t).between(3, 99))
+    return F.filter(F.transform(sized, letters_only), lambda t: ~t.isin(sorted(stop)))
+
+
 def drop_stop_words(tokens: Column, stop: frozenset[str] = STOP_WORDS) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(sorted(stop)))
 

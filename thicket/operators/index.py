@@ -8,6 +8,7 @@ that a lookup reads few row groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,11 +67,17 @@ def merge_corpus_statistics(*parts: DataFrame) -> DataFrame:
     return whole.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def build(docs: DataFrame, text: str = "text") -> Index:
-    """Index documents by their Latin-1 terms; a document without terms has length 0."""
-    tf = term_frequencies(term_rows(docs, text))
+def build(docs: DataFrame, text: str = "text", store: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """Index documents by their Latin-1 terms; a document without terms has length 0.
+
+    ``store`` writes the postings and reads them back, so that the other tables
+    are made of them and the texts are read once.
+    """
+    tf = term_frequencies(term_rows(docs, text)).select("term", "doc_id", "tf")
+    if store is not None:
+        tf = store(tf)
     lengths = docs.select(*(c for c in docs.columns if c != text)).join(document_lengths(tf), "doc_id", "left").fillna(0, ["doc_len"])
-    return Index(tf.select("term", "doc_id", "tf"), lengths, term_statistics(tf), corpus_statistics(lengths))
+    return Index(tf, lengths, term_statistics(tf), corpus_statistics(lengths))
 
 
 def positional_postings(terms: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from thicket.operators import phrases as P
 from thicket.operators import ranking as R
 from thicket.operators import vectors as V
 from thicket.plans import querytree as Q
+from thicket.scratch import materialize
 from thicket.sources import html as H
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    """The documents' index with its postings written, as any query of an index finds them."""
+    return I.build(table(spark, sf_dir, "documents").select("doc_id", "text"), store=lambda df: materialize(df, "postings"))
 
 
 def rounded(df: DataFrame, column: str = "score", digits: int = DIGITS) -> DataFrame:
@@ -84,7 +86,7 @@ def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TF} SELECT term, df, CAST(cf AS BIGINT) AS cf FROM st")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).term_stats
+    return I.term_statistics(I.term_frequencies(I.term_rows(table(spark, sf_dir, "documents"))))
 
 
 @query(f"WITH {TF} SELECT n AS n_docs, CAST(t AS BIGINT) AS n_tokens FROM co")
@@ -130,9 +132,8 @@ f AS (SELECT doc_id, regexp_replace(lower(replace(raw, 'ß', 'ss')), '[^\\p{{L}}
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM f WHERE term NOT IN ({', '.join(repr(w) for w in sorted(STOP_WORDS))}) GROUP BY term"""
 )
 def indexer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the indexing pipeline: positions, length bounds, folding, stop words."""
-    terms = X.index_terms(X.positioned(F.col("text")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(terms).alias("t")).select("doc_id", "t.term")
+    """Terms of the indexing pipeline: length bounds, folding, stop words."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.index_words(F.col("text"))).alias("term"))
     return I.term_statistics(I.term_frequencies(rows))
 
 
@@ -427,9 +428,9 @@ def hist_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", A.integral(50, 1))
 
 
-@query("SELECT CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars > 5000 THEN 'high' ELSE 'in' END AS place, CASE WHEN n_chars BETWEEN 500 AND 5000 THEN CAST(least(floor((n_chars - 500) / 450.0), 9) AS INTEGER) END AS bin, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY ALL")
+@query("SELECT CASE WHEN n_chars < 500 THEN 'low' WHEN n_chars > 5000 THEN 'high' ELSE 'in' END AS place, CASE WHEN n_chars BETWEEN 500 AND 5000 THEN CAST(least(floor((n_chars - 500) / 450.0), 9) AS INTEGER) ELSE -1 END AS bin, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY ALL")
 def hist_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.bounded_histogram(table(spark, sf_dir, "documents"), "n_chars", A.linear(10, 500, 5000))
+    return A.bounded_histogram(table(spark, sf_dir, "documents"), "n_chars", A.linear(10, 500, 5000)).fillna(-1, ["bin"])
 
 
 @query("SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
