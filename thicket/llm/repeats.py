@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from thicket.llm.parts import slots
 from thicket.llm.phrases import BLOCK_BITS, Phrases, mixed
-from thicket.llm.texts import texts_of
+from thicket.llm.texts import give_back, portions, texts_of
 from thicket.scratch import materialize
 
 WINDOW, GRAM, CELL = 100, 56, 16
@@ -175,23 +175,14 @@ def unpacked(data: bytes, kinds: str) -> Columns:
     return tuple(out)
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of the batch's rows of PORTION bytes of text, or one longer text."""
-    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PORTION, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def scan(docs: DataFrame, f: Callable[[Batch], Iterator[dict | None]], window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, most=PORTION):
                 for out in f(Batch(part, window, gram)):
                     if out is not None:
                         yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -208,9 +199,13 @@ def gather(rows: DataFrame, tasks: int, kinds: str, f: Callable[[Columns], Itera
             for valid, data in zip(batch.column(1).is_valid(), batch.column(3), strict=True):
                 if not valid.as_py():
                     have.append(unpacked(data.as_buffer().to_pybytes(), kinds))
-        for out in f(joined(have, kinds)):
+        whole = joined(have, kinds)
+        have.clear()
+        for out in f(whole):
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out)
+        del whole
+        give_back()
 
     return rows.repartition(tasks, "part").mapInArrow(run, SCHEMA)
 

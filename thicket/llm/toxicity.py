@@ -19,14 +19,14 @@ an empty result. Only doc_id and text of the documents are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.texts import map_batches, texts_of
+from thicket.llm.texts import give_back, map_batches, portions, texts_of
 
 BITS = 20
 TRAIN_ROWS = 24_000
@@ -80,16 +80,19 @@ class Ftrl:
         self.n[-1] += g * g
 
 
-def train(texts: list[bytes | None], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places with a weight, the weights, the bias."""
+def train(rows: Iterable[tuple[bytes | None, int]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places with a weight, the weights, the bias; of (text, toxic) pairs only the features are held."""
+    found, toxic = [], []
+    for text, y in rows:
+        found.append(np.unique(places(text)).astype(np.int32))
+        toxic.append(y)
     if len(set(toxic)) < 2:
         share = min(max(float(np.mean(toxic)) if toxic else 0.0, 1e-9), 1 - 1e-9)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
-    rows = [np.unique(places(t)) for t in texts]
     model, rng = Ftrl(1 << BITS), np.random.default_rng(11)
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            model.step(rows[i], float(toxic[i]))
+        for i in rng.permutation(len(found)):
+            model.step(found[i], float(toxic[i]))
     w = model.weights(slice(0, 1 << BITS))
     at = np.flatnonzero(w)
     return at, w[at], model.bias()
@@ -108,17 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     sample = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", "toxic").limit(2 * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
-        for batch in batches:
-            texts += texts_of(batch, "text")
-            toxic += (int(y > 0) for y in batch.column(2).to_pylist())
-        at, w, bias = train(texts, toxic)
+        parts = (part for batch in batches for part in portions(batch))
+        at, w, bias = train((t, int(y > 0)) for part in parts for t, y in zip(texts_of(part, "text"), part.column(2).to_pylist(), strict=True))
+        give_back()
         yield pa.RecordBatch.from_pydict({"place": pa.array([*at.tolist(), -1], pa.int64()), "weight": pa.array([*w.tolist(), bias])})
 
     # a bounded sample, in one task by intent: the updates are sequential
     model = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text", "toxic").mapInArrow(run, "place long, weight double").toArrow()
     place, weight = np.asarray(model.column("place")), np.asarray(model.column("weight"))
-    bias = float(weight[place < 0][0]) if (place < 0).any() else train([], [])[2]
+    bias = float(weight[place < 0][0]) if (place < 0).any() else train([])[2]
     return place[place >= 0], weight[place >= 0], bias
 
 
@@ -148,12 +149,12 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) ->
 
 def keep_civil(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], most: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``most`` or more; all columns, any order."""
-    at = docs.columns.index("text")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array([score(t) < most for t in texts_of(batch.select([at]), "text")], pa.bool_()))
+            for part in portions(batch):
+                yield part.filter(pa.array([score(t) < most for t in texts_of(part, "text")], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
