@@ -35,6 +35,8 @@ def test_worked_examples(spark, built):
     assert scores(M.query_likelihood(built, q, M.Dirichlet(10))) == pytest.approx({1: -2.916347, 2: -3.498778}, abs=1e-6)
     assert scores(M.query_likelihood(built, q, M.JelinekMercer(0.6))) == pytest.approx({1: -2.507380, 2: -3.949763}, abs=1e-6)
     assert scores(M.query_likelihood(built, q, M.Laplace())) == pytest.approx({1: -1.832581, 2: -2.484907}, abs=1e-6)
+    twice = M.each_once(M.query_rows(spark, {"q": ["cat", "sat", "cat"]}))
+    assert scores(M.query_likelihood(built, twice, M.Laplace()))[1] == pytest.approx(-1.832581, abs=1e-6)
     none = scores(M.query_likelihood(built, q, M.NoSmoothing()))
     assert none[1] == pytest.approx(math.log(1 / 9)) and none[2] == -math.inf
 

@@ -134,7 +134,7 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
 def query(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """The best documents of an index for some terms."""
     made, rows = I.open_index(spark, a.index), M.query_rows(spark, {"q": a.terms})
-    model = {"bm25": M.bm25, "tfidf": M.tf_idf, "ql": lambda i, q: M.query_likelihood(i, q, M.Dirichlet(a.mu))}[a.model]
+    model = {"bm25": M.bm25, "tfidf": M.tf_idf, "ql": lambda i, q: M.query_likelihood(i, M.each_once(q), M.Dirichlet(a.mu))}[a.model]
     return R.top_k(model(made, rows), a.count).select("doc_id", "score")
 
 

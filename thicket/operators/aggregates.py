@@ -195,3 +195,8 @@ def numbered(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name
     return rows.withColumn(name, F.row_number().over(w) - 1)
 
 
+
+
+def python_fold(rows: DataFrame, by: Sequence[str], f: Callable, schema: str) -> DataFrame:
+    """Any fold of a key's rows in Python: ``f`` maps a pandas frame to one. For keys whose rows fit in a task."""
+    return rows.groupBy(*by).applyInPandas(f, schema)

@@ -56,6 +56,11 @@ def query_rows(spark: SparkSession, queries: dict[str, list[str] | dict[str, flo
     return spark.createDataFrame(rows, "query_id string, term string, weight double")
 
 
+def each_once(queries: DataFrame) -> DataFrame:
+    """The queries with every term once and weight 1, however often it was given."""
+    return queries.select("query_id", "term").distinct().withColumn("weight", F.lit(1.0))
+
+
 def candidates(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, term, weight, tf: the query terms that documents hold."""
     return index.postings.join(queries, "term").select("query_id", "doc_id", "term", "weight", "tf")
