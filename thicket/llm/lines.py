@@ -72,7 +72,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", **kw) -> DataFrame:
     clean = F.array_join("_line_kept", "\n")
     made = with_clean(docs, F.col(site), **kw).withColumn("text", clean)
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.size("_line_all") == F.size("_line_kept"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        made = made.withColumn("n_chars", F.when(F.col("text").isNull() | (F.size("_line_all") == F.size("_line_kept")), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return made.select(docs.columns)
 
 
