@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from thicket.functions.stopwords import STOP_WORDS
 
-#: Signs that become blanks; apostrophe and full stop stay.
+#: Signs that become blanks, fixed values; apostrophe and full stop stay.
 PUNCTUATION = "\t\n\r;\"&/:!#?$%()@^*+-,=><[]{}|`~_"
 LATIN_TERM = "[a-zªºà-öø-ÿ]+"
 POSITION = T.StructType([T.StructField("token_pos", T.IntegerType()), T.StructField("char_pos", T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))])
