@@ -546,7 +546,7 @@ def coord_ascent_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights learned from the quality labels, and their mean average precision."""
     data = length_features(spark, sf_dir)
     space = L.Space(("chars", "lines", "place"))
-    model, score = L.learn(space, data, L.totals_of(data), drop=0, most=2)
+    model, score = L.learn(space, data, L.totals_of(data))
     return spark.createDataFrame([(n, w, score) for n, w in zip(space.names, model.weights, strict=True)], "feature string, weight double, map double")
 
 
