@@ -41,6 +41,7 @@ def test_scan_against_brute_force(spark):
     for _ in range(150):
         parts = [rng.choice(lines) if rng.random() < 0.3 else "".join(rng.choice("abÉ ,.\nMIT") for _ in range(12)) for _ in range(rng.randint(0, 10))]
         texts.append(rng.choice([" ", "\n", "-"]).join(parts))
+    texts += ["😀 😀 😀 😀 😀 mit license", "😀" * 9 + " 𝒜𝒷 mit license 𝒜 apache license", "mit license 😀 MIT LICENSE"]
     texts.append("word " * 50_000 + "mit license " + "word " * 10)
     docs = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, norm string, detections int")
     got = {r.doc_id: tuple(r)[1:8] for r in licenses.scan(docs).collect()}

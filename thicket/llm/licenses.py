@@ -75,12 +75,13 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(text.rlike(GATE), normal(text)).alias("norm"))
     norm = F.col("norm")
     base = rf"(?<= ){_ANY_BASE}(?= )"
-    first = F.regexp_instr(norm, F.lit(base))
+    # what stands before the first place: not regexp_instr, which counts UTF-16 units where substring counts code points
+    ahead = F.split(norm, base, 2)[0]
     before = F.regexp_extract(norm, rf"(?s)^(.* ){_ANY_BASE} .*$", 1)
     rows = rows.withColumn("n_base", F.coalesce(F.regexp_count(norm, F.lit(base)), F.lit(0)).cast("long"))
     hit = F.col("n_base") > 0
     rows = rows.withColumns({
-        "first_word": F.when(hit, blanks(F.substring(norm, F.lit(1), first - 1)) - 1).cast("long"),
+        "first_word": F.when(hit, blanks(ahead) - 1).cast("long"),
         "last_word": F.when(hit, blanks(before) - 1).cast("long"),
         "_base": F.array_compact(F.array(*(F.when(F.contains(norm, F.lit(f" {phrase} ")), F.lit(label)) for phrase, label in BASE.items()))),
         "_found": F.when(norm.isNotNull(), detections(norm)).otherwise(F.array().cast("array<struct<label:string,priority:int,start:int,end:int>>")),
@@ -93,4 +94,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of ``documents``.
+
+    Words are counted from 0 in whole texts, whatever planes their characters
+    are of. A null or empty text has no words and no labels and score 0; equal
+    rows give equal rows.
+    """
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")
