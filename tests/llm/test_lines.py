@@ -51,3 +51,18 @@ def test_odd_rows_and_columns(spark):
     assert texts == {None, "", "x\n\n", "x" * 1_000_000, "y", "z", "w\r"}
     assert all(r.text is None or r.n_chars == len(r.text) for r in got.collect())
     assert L.drop_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_pages_by_host(spark):
+    nav = "<nav><ul><li>Home<li class=x>About <b>us</b></ul></nav>"
+    rows = [(i, f"https://{'WWW.a.com:80' if i % 2 else 'www.A.com'}/x{i}?q=http://b.com/", f"<html><script>var a='</p>';</script>{nav}<p>Own {i}</p><!-- <p>never\n-->Foot</html>") for i in range(6)]
+    rows += [(10, "https://user@b.com/", f"{nav}<p>other host"), (11, None, nav), (12, "no url", "a\nb"), (13, "http://www.a.com", None), (None, "http://www.a.com/y", "")]
+    pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, line string")
+    got = {r.page_id: r for r in L.drop_page_boilerplate(pages).collect()}
+    assert got[1].asDict().keys() == {"page_id", "url", "html", "line", "text"}
+    assert [[x for x in got[i].text.split("\n") if x] for i in range(6)] == [[f"Own {i}"] for i in range(6)]
+    assert [x for x in got[10].text.split("\n") if x] == ["Home", "About us", "other host"]
+    assert [x for x in got[11].text.split("\n") if x] == ["Home", "About us"]
+    assert got[12].text == "a\nb" and got[13].text is None and got[None].text == ""
+    hosts = pages.select("page_id", L.host(F.col("url")).alias("h")).collect()
+    assert {r.page_id: r.h for r in hosts} == {**{i: "www.a.com" for i in range(6)}, 10: "b.com", 11: None, 12: "", 13: "www.a.com", None: "www.a.com"}

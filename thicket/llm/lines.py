@@ -1,6 +1,6 @@
 """Line dedup by site-relative frequency.
 
-For every site (host) the share of its pages that hold a line is counted; a
+For every site (the host of web pages; any column for other documents) the share of its pages that hold a line is counted; a
 line on more than ``RATIO`` of the site's pages, and on ``MIN_PAGES`` at
 least, is boilerplate and goes from all of them. Pages of a site with the same
 text count as one, so that copies of a page don't make its lines boilerplate.
@@ -27,6 +27,9 @@ from thicket.scratch import materialize
 RATIO, MIN_PAGES = 0.05, 3
 #: Lists of boilerplate lines are broadcast up to so many lines in all (16 bytes each).
 BROADCAST_LINES = 500_000
+HOST = "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+UNSEEN = "(?is)<script[^a-z].*?</script[^>]*>|<style[^a-z].*?</style[^>]*>|<!--.*?-->"
+BLOCK_TAG = "(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[^a-z0-9>][^>]*)?>"
 
 
 def bare(line: Column) -> Column:
@@ -76,34 +79,57 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", **kw) -> DataFrame:
     return made.select(docs.columns)
 
 
+def host(url: Column) -> Column:
+    """The host of a URL, A-Z in lower case; empty where it has none, null for null."""
+    return F.regexp_extract(F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), HOST, 1)
+
+
+def page_text(html: Column) -> Column:
+    """A page's visible text, a line for each run between block tags; other tags, scripts, styles and comments are gone."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, "\n"), BLOCK_TAG, "\n"), "<[^>]*>", "")
+
+
+def drop_page_boilerplate(pages: DataFrame, **kw) -> DataFrame:
+    """``pages`` (url, html and any other columns) with ``text``: the page's lines without its host's boilerplate."""
+    if "text" in pages.columns:
+        raise ValueError("the pages have a column named text already")
+    made = with_clean(pages.withColumn("text", page_text(F.col("html"))), host(F.col("url")), **kw)
+    return made.select(*(made[c] for c in pages.columns), F.array_join("_line_kept", "\n").alias("text"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_chars, kept_md5 of each row of ``documents``; the site is its source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    made = with_clean(docs, F.col("source"))
+    """page_id, host, n_lines, n_dropped, kept_chars, kept_md5 of each row of ``pages``.
+
+    A null html has no lines and an empty rest; pages without a url or without
+    a host in it are the pages of one site each.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
+    made = with_clean(pages, F.col("host"))
     text = F.coalesce(F.array_join("_line_kept", "\n"), F.lit(""))
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("_line_all")), F.lit(0))
-    return made.select("doc_id", n.cast("long").alias("n_lines"), (n - F.coalesce(F.when(F.col("text").isNotNull(), F.size("_line_kept")), F.lit(0))).cast("long").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("kept_md5"))
+    n, kept = (F.coalesce(F.when(F.col("text").isNotNull(), F.size(c)), F.lit(0)) for c in ("_line_all", "_line_kept"))
+    return made.select("page_id", "host", n.cast("long").alias("n_lines"), (n - kept).cast("long").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("kept_md5"))
 
 
-OP4_SQL = r"""
+OP4_SQL = rf"""
 WITH docs AS (
-  SELECT doc_id, source, text, row_number() OVER () AS rid FROM documents
-), pages AS (
-  SELECT source, count(DISTINCT text) AS pages FROM docs WHERE text IS NOT NULL GROUP BY source
+  SELECT page_id, regexp_extract(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{HOST}', 1) AS host, row_number() OVER () AS rid,
+    regexp_replace(regexp_replace(regexp_replace(html, '{UNSEEN}', chr(10), 'g'), '{BLOCK_TAG}', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages
+), totals AS (
+  SELECT host, count(DISTINCT text) AS pages FROM docs WHERE text IS NOT NULL GROUP BY host
 ), raw AS (
-  SELECT rid, doc_id, source, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM docs WHERE text IS NOT NULL
+  SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM docs WHERE text IS NOT NULL
 ), lines AS (
-  SELECT rid, doc_id, source, text, line, n, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM raw
+  SELECT rid, host, text, line, n, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM raw
 ), common AS (
-  SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT text) AS n FROM lines WHERE bare <> '' GROUP BY source, bare) l
-  JOIN pages p ON l.source IS NOT DISTINCT FROM p.source WHERE l.n >= 3 AND l.n > 0.05::DOUBLE * p.pages
+  SELECT l.host, l.bare FROM (SELECT host, bare, count(DISTINCT text) AS n FROM lines WHERE bare <> '' GROUP BY host, bare) l
+  JOIN totals p ON l.host IS NOT DISTINCT FROM p.host WHERE l.n >= {MIN_PAGES} AND l.n > {RATIO}::DOUBLE * p.pages
 ), kept AS (
   SELECT l.rid, count(*) AS n_kept, string_agg(l.line, chr(10) ORDER BY l.n) AS text
-  FROM lines l LEFT JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.bare = c.bare WHERE c.bare IS NULL GROUP BY l.rid
+  FROM lines l LEFT JOIN common c ON l.host IS NOT DISTINCT FROM c.host AND l.bare = c.bare WHERE c.bare IS NULL GROUP BY l.rid
 ), sizes AS (
   SELECT rid, count(*) AS n FROM lines GROUP BY rid
 )
-SELECT d.doc_id, coalesce(s.n, 0) AS n_lines, coalesce(s.n, 0) - coalesce(k.n_kept, 0) AS n_dropped,
+SELECT d.page_id, d.host, coalesce(s.n, 0) AS n_lines, coalesce(s.n, 0) - coalesce(k.n_kept, 0) AS n_dropped,
   length(coalesce(k.text, '')) AS kept_chars, md5(coalesce(k.text, '')) AS kept_md5
 FROM docs d LEFT JOIN sizes s USING (rid) LEFT JOIN kept k USING (rid)
 """
