@@ -44,30 +44,57 @@ def test_every_token_is_in_one_place(spark, seed):
 
 def test_the_cost_decides_among_bin_sizes():
     cheap_small = P.Plan({10: 8}, (10, 40), lambda c: {10: 1.0, 40: 100.0}[c])
-    assert {c for _, c, _ in cheap_small.patterns} == {10} and cheap_small.bins == 8
+    assert set(cheap_small.bin_capacity.tolist()) == {10} and cheap_small.bins == 8
     cheap_large = P.Plan({10: 8}, (10, 40), lambda c: {10: 100.0, 40: 1.0}[c])
-    assert cheap_large.bins == 2
+    assert cheap_large.bins == 2 and set(cheap_large.bin_capacity.tolist()) == {40}
+    # 30 + 10 fill a bin of 40 that is foreseen; the last 30 has nothing to go with and takes the smaller bin
+    mixed = P.Plan({30: 2, 10: 1}, (32, 40), lambda c: float(c))
+    assert sorted(mixed.bin_capacity.tolist()) == [32, 40]
     with pytest.raises(ValueError):
         P.Plan({50: 1}, (10, 40))
 
 
-def brute_best_fit(sizes, capacity):
-    bins = []
-    for s in sorted(sizes, reverse=True):
-        fit = [b for b in range(len(bins)) if bins[b] >= s]
-        if fit:
-            bins[min(fit, key=lambda b: bins[b])] -= s
-        else:
-            bins.append(capacity - s)
-    return len(bins)
+def one_by_one(sizes, capacities, cost):
+    """Best fit with one item at a time; a bin is opened where the plan's own rule says so."""
+    plan = P.Plan({}, capacities, cost)
+    histogram = {s: sizes.count(s) for s in set(sizes)}
+    foreseen = P.Foreseen(histogram)
+    bins: list[list[int]] = []  # room, used
+    for s in sorted(histogram, reverse=True):
+        for k in range(histogram[s]):
+            fit = [b for b in bins if b[0] >= s]
+            if not fit:
+                foreseen.left[s] = histogram[s] - k
+                capacity, n = plan._cheapest(s, foreseen)
+                bins += [[capacity, 0] for _ in range(n)]
+                fit = bins[-n:]
+            tightest = min(fit, key=lambda b: b[0])
+            tightest[0] -= s
+            tightest[1] += s
+        del foreseen.left[s]
+        foreseen.sizes.pop()
+    return sorted(used for _, used in bins)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_no_more_bins_than_item_by_item(seed):
+@pytest.mark.parametrize("seed", range(12))
+def test_same_bins_as_item_by_item(seed):
     rng = random.Random(seed)
-    sizes = [rng.randrange(1, 101) for _ in range(500)]
-    plan = P.Plan({s: sizes.count(s) for s in set(sizes)}, (100,))
-    assert plan.bins <= brute_best_fit(sizes, 100) + 2
+    capacities = [(100,), (100,), (32, 64, 100), (50, 100)][seed % 4]
+    most = rng.choice([20, 60, 100])
+    sizes = [rng.randrange(1, most + 1) for _ in range(rng.choice([20, 300, 700]))]
+    plan = P.Plan({s: sizes.count(s) for s in set(sizes)}, capacities)
+    used = sorted(u for u, n in zip(plan.bin_used.tolist(), plan.bin_count.tolist(), strict=True) for _ in range(n))
+    assert used == one_by_one(sizes, capacities, P.plain_cost) and len(used) == plan.bins
+    assert sum(used) == sum(sizes)
+    if len(capacities) == 1:  # the plain rule: the tightest open bin, else a new one
+        rooms: list[int] = []
+        for s in sorted(sizes, reverse=True):
+            fit = [i for i, r in enumerate(rooms) if r >= s]
+            if fit:
+                rooms[min(fit, key=lambda i: rooms[i])] -= s
+            else:
+                rooms.append(100 - s)
+        assert sorted(100 - r for r in rooms) == used
 
 
 def test_odd_rows(spark):

@@ -1,17 +1,19 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Bins may have any of several capacities. Largest items go first; when no open
-bin has room, the bin size is opened that costs least for each token that the
-items still there would put into it, each bin takes the largest item that
-fits until nothing does, and finally a bin shrinks to the smallest permitted
-capacity that holds its contents.
+Bins may have any of several capacities and stay open. Largest items go first,
+each into the open bin with the least room that holds it. Where none does, the
+bin size is opened that costs least for each token: the items that a new bin
+of each capacity would hold are taken from those that are neither placed nor
+foreseen for a bin opened before. Finally each bin shrinks to the smallest
+permitted capacity that holds its contents.
 
 Only sizes matter to the packing, and there are no more different sizes than
-the largest capacity: the plan is made from the histogram of sizes, a bin
-pattern at a time with as many bins as the histogram allows. So the plan takes
-the same memory for any number of documents, is the same on every run, and
-packs the whole corpus together, not shard by shard. Items then look up their
-bin by their rank among the items of their size.
+the largest capacity: the plan is made from the histogram of sizes, for all
+bins of equal contents at once, and places each item where one item at a time
+would be placed. So the plan takes the same memory for any number of
+documents, is the same on every run, and packs the whole corpus together, not
+shard by shard. Items then look up their bin by their rank among the items of
+their size.
 
 Defined cases: a document longer than the largest capacity is cut into pieces
 of that capacity and a rest; a document without words (or a null text) has no
@@ -21,7 +23,7 @@ repeated rows are items of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,68 +46,101 @@ def plain_cost(capacity: int) -> float:
 class Plan:
     """For each size, the rank intervals of its items and where they go.
 
-    start: first rank; each: items of this size in a bin; first_bin, offset,
-    capacity: of the interval's bins; ``bounds[s]:bounds[s + 1]`` are size s's.
+    start: first rank; each: items of this size in a bin; first_bin, offset: of
+    the interval's bins. bin_start, bin_used, bin_capacity: of runs of bins
+    with equal contents.
     """
 
     def __init__(self, histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = plain_cost):
-        self.capacities = sorted(capacities)
-        most = self.capacities[-1]
-        left = dict(histogram)
-        sizes = sorted(left)
-        if sizes and not 1 <= sizes[0] <= sizes[-1] <= most:
+        self.capacities, self.cost = sorted(capacities), cost
+        if histogram and not 1 <= min(histogram) <= max(histogram) <= self.capacities[-1]:
             raise ValueError("sizes must be between 1 and the largest capacity")
-        taken = dict.fromkeys(left, 0)
-        rows: dict[int, list[tuple[int, int, int, int, int]]] = {s: [] for s in left}
-        self.bins, self.patterns = 0, []
-        while sizes:
-            best = None
-            for capacity in self.capacities:
-                if capacity >= sizes[-1]:
-                    pattern, used = self._fill(sizes, left, capacity)
-                    price = cost(self._down(used)) / used
-                    if best is None or price < best[0]:
-                        best = (price, pattern, used)
-            _, pattern, used = best
-            n = min(left[s] // k for s, k in pattern)
-            capacity, offset = self._down(used), 0
-            for s, k in pattern:
-                rows[s].append((taken[s], k, self.bins, offset, capacity))
-                offset += s * k
-                taken[s] += n * k
-                left[s] -= n * k
-                if not left[s]:
-                    sizes.remove(s)
-            self.bins += n
-            self.patterns.append((n, capacity, pattern))
-        flat = [(s, *r) for s in sorted(rows) for r in rows[s]]
-        self.size, self.start, self.each, self.first_bin, self.offset, self.capacity = (np.array(c, np.int64) for c in (zip(*flat, strict=True) if flat else [()] * 6))
-
-    @staticmethod
-    def _fill(sizes: list[int], left: dict[int, int], capacity: int) -> tuple[list[tuple[int, int]], int]:
-        """Of the items still there the largest that fits, again and again."""
-        pattern, room = [], capacity
-        i = bisect_right(sizes, room) - 1
-        while i >= 0 and room:
-            s = sizes[i]
-            k = min(left[s], room // s)
-            pattern.append((s, k))
-            room -= s * k
-            i = min(i, bisect_right(sizes, room)) - 1 if s > room else i - 1
-            if i >= 0 and sizes[i] > room:
-                i = bisect_right(sizes, room) - 1
-        return pattern, capacity - room
-
-    def _down(self, used: int) -> int:
-        return next(c for c in self.capacities if c >= used)
+        self.bins = 0
+        #: Runs of open bins (first, number, used) by their room, and the rooms in order.
+        self._open: dict[int, list[tuple[int, int, int]]] = {}
+        self._rooms: list[int] = []
+        foreseen = Foreseen(histogram)
+        rows = []
+        for s in sorted(histogram, reverse=True):
+            left, taken = histogram[s], 0
+            foreseen.left[s] = left
+            while left:
+                at = bisect_left(self._rooms, s)
+                if at == len(self._rooms):
+                    foreseen.left[s] = left
+                    capacity, n = self._cheapest(s, foreseen)
+                    self._keep(capacity, self.bins, n, 0)
+                    self.bins += n
+                    continue
+                room = self._rooms[at]
+                first, number, used = self._open[room].pop()
+                if not self._open[room]:
+                    del self._open[room], self._rooms[at]
+                # the tightest bin takes items until none fits, as its room only becomes less
+                each = room // s
+                full = min(number, left // each)
+                runs = [(full, each)] if full else []
+                if full < number and full * each < left:
+                    runs.append((1, left - full * each))
+                for n, k in runs:
+                    rows.append((s, taken, k, first, used))
+                    self._keep(room - k * s, first, n, used + k * s)
+                    first, number, taken, left = first + n, number - n, taken + n * k, left - n * k
+                if number:
+                    self._keep(room, first, number, used)
+            del foreseen.left[s]
+            foreseen.sizes.pop()
+        rows.sort()
+        self.size, self.start, self.each, self.first_bin, self.offset = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [()] * 5))
+        runs = sorted(run for held in self._open.values() for run in held)
+        self.bin_start, self.bin_count, self.bin_used = (np.array(c, np.int64) for c in (zip(*runs, strict=True) if runs else [()] * 3))
+        self.bin_capacity = np.array(self.capacities, np.int64)[np.searchsorted(self.capacities, self.bin_used)]
+
+    def _keep(self, room: int, first: int, number: int, used: int) -> None:
+        if room not in self._open:
+            insort(self._rooms, room)
+            self._open[room] = []
+        self._open[room].append((first, number, used))
+
+    def _cheapest(self, s: int, foreseen: "Foreseen") -> tuple[int, int]:
+        """The capacity to open for size ``s``, and how many bins of equal foreseen contents."""
+        offers = []
+        for capacity in self.capacities:
+            if capacity >= s:
+                pattern, used = foreseen.fill(capacity)
+                offers.append((self.cost(next(c for c in self.capacities if c >= used)) / used, capacity, pattern))
+        _, capacity, pattern = min(offers)
+        n = min(foreseen.left[z] // k for z, k in pattern)
+        for z, k in pattern:
+            foreseen.left[z] -= n * k
+        return capacity, n
 
     def find(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """bin, offset, capacity of the rank-th item of a size."""
         wide = np.int64(1) << 40
-        base = self.size * wide + self.start
-        at = np.searchsorted(base, size * wide + rank, "right") - 1
+        at = np.searchsorted(self.size * wide + self.start, size * wide + rank, "right") - 1
         k = rank - self.start[at]
-        return self.first_bin[at] + k // self.each[at], self.offset[at] + k % self.each[at] * size, self.capacity[at]
+        to = self.first_bin[at] + k // self.each[at]
+        return to, self.offset[at] + k % self.each[at] * size, self.bin_capacity[np.searchsorted(self.bin_start, to, "right") - 1]
+
+
+class Foreseen:
+    """The items that no bin so far was opened for, by size; the largest size is the one to be placed."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.left, self.sizes = dict(histogram), sorted(histogram)
+
+    def fill(self, room: int) -> tuple[list[tuple[int, int]], int]:
+        """What a new bin would hold: the largest items that fit, again and again."""
+        pattern, whole = [], room
+        at = len(self.sizes)
+        while room and (at := bisect_right(self.sizes, room, 0, at)):
+            at -= 1
+            s = self.sizes[at]
+            if k := min(self.left[s], room // s):
+                pattern.append((s, k))
+                room -= s * k
+        return pattern, whole - room
 
 
 def items(docs: DataFrame, tokens: str, most: int) -> DataFrame:
