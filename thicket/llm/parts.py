@@ -3,6 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import SparkSession
+
+#: Bytes that a task gathers.
+TASK_BYTES = 1 << 26
+
+
+def tasks_for(spark: SparkSession, n_bytes: int | None) -> int:
+    """As many tasks as the session asks for, more where each would gather over ``TASK_BYTES``."""
+    return min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_bytes or 0) // TASK_BYTES)))
 
 
 def spark_hash(x: np.ndarray, seed: int = 42) -> np.ndarray:

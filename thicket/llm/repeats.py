@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.parts import slots
+from thicket.llm.parts import slots, tasks_for
 from thicket.llm.phrases import BLOCK_BITS, Phrases, mixed
 from thicket.llm.texts import give_back, portions, texts_of
 from thicket.scratch import materialize
@@ -58,8 +58,6 @@ WINDOW, GRAM, CELL = 100, 56, 16
 LAST = (1 << 63) - 1
 #: Bits of a key filter at most: 32 MB.
 FILTER_BITS = 28
-#: Bytes of text for each task that gathers fingerprints.
-TASK_BYTES = 1 << 26
 #: Bytes of text whose phrases are sorted at once.
 PORTION = 12 << 20
 #: Documents with marks are told apart by a broadcast up to so many (16 bytes each); above, all texts move.
@@ -288,8 +286,8 @@ def marks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    parts = slots(min(tasks, 1 << 20))
+    tasks = tasks_for(spark, total)
+    parts = slots(tasks)
 
     def many(key: np.ndarray, whole: np.ndarray) -> Columns:
         """Of phrases in order of key and whole: each key once and whether it has different phrases."""
