@@ -76,3 +76,48 @@ def test_features():
     w = T.Ftrl(8)
     w.step(np.array([1, 2]), 1.0)
     assert w.weights(np.array([0]))[0] == 0 and w.bias() > 0
+
+
+def plain_ftrl(rows, order):
+    """FTRL-proximal by one coordinate at a time, over dicts."""
+    z, n = {}, {}
+
+    def weight(k):
+        if k == "bias":
+            return -z.get(k, 0.0) / ((T.BETA + n.get(k, 0.0) ** 0.5) / T.ALPHA)
+        v = z.get(k, 0.0)
+        if abs(v) <= T.L1:
+            return 0.0
+        return -(v - (T.L1 if v > 0 else -T.L1)) / ((T.BETA + n.get(k, 0.0) ** 0.5) / T.ALPHA + T.L2)
+
+    for i in order:
+        places, y = rows[i]
+        used = [*places, "bias"]
+        w = {k: weight(k) for k in used}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for k in used:
+            sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / T.ALPHA
+            z[k] = z.get(k, 0.0) + g - sigma * w[k]
+            n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z if k != "bias" and weight(k)}, weight("bias")
+
+
+def test_against_plain_ftrl():
+    rng = random.Random(5)
+    rows = [(sorted(rng.sample(range(60), 12)) + [1000 + i], int(i % 4 == 0)) for i in range(80)]
+    rows = [(sorted({*p, 7}) if y else p, y) for p, y in rows]
+    orders = np.random.default_rng(11)
+    order = [i for _ in range(T.EPOCHS) for i in orders.permutation(len(rows))]
+    want, bias = plain_ftrl(rows, order)
+    at, w, b = T.train([np.array(p, np.int32) for p, _ in rows], [y for _, y in rows])
+    assert set(at.tolist()) == set(want) and abs(b - bias) < 1e-9
+    assert all(abs(want[k] - x) < 1e-9 for k, x in zip(at.tolist(), w.tolist(), strict=True))
+
+
+def test_repeated_ids_stay_bounded(spark):
+    docs, labels = corpus(spark, 100)
+    again = docs.union(docs.where("doc_id < 5").crossJoin(spark.range(200)).drop("id"))
+    for a, b in zip(T.fit(docs, labels), T.fit(again, labels), strict=True):
+        assert np.array_equal(a, b)  # equal rows count once
+    other = again.withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id().cast("string")))
+    assert T.fit(other, labels, rows=90)[2] != 0

@@ -6,20 +6,23 @@ out), hashed into 2**BITS places; a longer word also counts by its first
 weights at exactly zero, so the model is a short list of places and weights.
 
 The model is trained by one task on a bounded sample of the labelled rows
-(``TRAIN_ROWS`` at most, chosen by a hash of doc_id); every document's whole
-text is then scored.
+(``TRAIN_ROWS`` at most, chosen by a hash of doc_id): the labels are broadcast
+to the scan, which hashes the features, and only their places move. Every
+document's whole text is then scored.
 
 Defined cases: a null or empty text has no features and the bias as its score;
-a null doc_id is scored, is not held out and never a labelled row; labels of a
-repeated doc_id are all used; a table without labels of both kinds gives the
-share of toxic labels (0 without any) to every document; an empty table gives
-an empty result. Only doc_id and text of the documents are read.
+a null doc_id is scored, is not held out and never a labelled row; different
+labels or texts of a repeated doc_id are all used, equal rows once (where the
+rows of repeated ids are over twice ``TRAIN_ROWS``, a hash of their texts
+chooses among them); a table without labels of both kinds gives the share of
+toxic labels (0 without any) to every document; an empty table gives an empty
+result. Only doc_id and text of the documents are read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,15 +83,16 @@ class Ftrl:
         self.n[-1] += g * g
 
 
-def train(rows: Iterable[tuple[bytes | None, int]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places with a weight, the weights, the bias; of (text, toxic) pairs only the features are held."""
-    found, toxic = [], []
-    for text, y in rows:
-        found.append(np.unique(places(text)).astype(np.int32))
-        toxic.append(y)
+def train(found: list[np.ndarray], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Places with a weight, the weights, the bias, from the different places of each row."""
     if len(set(toxic)) < 2:
         share = min(max(float(np.mean(toxic)) if toxic else 0.0, 1e-9), 1 - 1e-9)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
+    # each step moves z by less than one, so a place in too few rows never passes L1: leaving it out changes nothing
+    rows = np.zeros(1 << BITS, np.int64)
+    for at in found:
+        rows[at] += 1
+    found = [at[rows[at] * EPOCHS > L1] for at in found]
     model, rng = Ftrl(1 << BITS), np.random.default_rng(11)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(found)):
@@ -108,18 +112,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_label_id"), F.lit(1_000_000)) < int(0.95 * rows / n * 1_000_000))
-    sample = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", "toxic").limit(2 * rows)
+    # bounded by ``rows``: the share above leaves room for chance
+    pairs = docs.join(F.broadcast(known.distinct()), F.col("doc_id") == F.col("_label_id"))
+    key = F.xxhash64("text", "doc_id")
+    many = pairs.count()
+    if many > 2 * rows:
+        pairs = pairs.where(F.pmod(key, F.lit(1_000_000)) < int(1.9 * rows / many * 1_000_000))
+
+    def hashed(batch: pa.RecordBatch) -> dict:
+        data = [np.unique(places(t)).astype(np.int32).tobytes() for t in texts_of(batch, "text")]
+        return {"doc_id": batch.column(0), "key": batch.column(1), "toxic": batch.column(2), "data": pa.array(data, pa.binary())}
+
+    sample = map_batches(pairs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "toxic", "text"), hashed, "doc_id long, key long, toxic int, data binary")
+    if many > 2 * rows:
+        sample = sample.dropDuplicates(["doc_id", "key", "toxic"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (part for batch in batches for part in portions(batch))
-        at, w, bias = train((t, int(y > 0)) for part in parts for t, y in zip(texts_of(part, "text"), part.column(2).to_pylist(), strict=True))
+        found, toxic, before = [], [], None
+        for batch in batches:
+            for i, k, y, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                if (i, k, y) != before:
+                    found.append(np.frombuffer(data.as_buffer().to_pybytes(), np.int32))
+                    toxic.append(int(y > 0))
+                before = i, k, y
+        at, w, bias = train(found, toxic)
         give_back()
         yield pa.RecordBatch.from_pydict({"place": pa.array([*at.tolist(), -1], pa.int64()), "weight": pa.array([*w.tolist(), bias])})
 
     # a bounded sample, in one task by intent: the updates are sequential
-    model = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text", "toxic").mapInArrow(run, "place long, weight double").toArrow()
+    model = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "key", "toxic").mapInArrow(run, "place long, weight double").toArrow()
     place, weight = np.asarray(model.column("place")), np.asarray(model.column("weight"))
-    bias = float(weight[place < 0][0]) if (place < 0).any() else train([])[2]
+    bias = float(weight[place < 0][0]) if (place < 0).any() else train([], [])[2]
     return place[place >= 0], weight[place >= 0], bias
 
 
@@ -149,6 +172,7 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) ->
 
 def keep_civil(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], most: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``most`` or more; all columns, any order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
         for batch in batches:
