@@ -185,7 +185,7 @@ def scan(docs: DataFrame, f: Callable[[Batch], Iterator[dict | None]], window: i
     return docs.mapInArrow(run, SCHEMA)
 
 
-def gather(rows: DataFrame, tasks: int, kinds: str, f: Callable[[Columns], Iterator[dict | None]]) -> DataFrame:
+def gather(rows: DataFrame, tasks: int, kinds: str, f: Callable[[Columns], Iterator[dict | None]], schema: str = SCHEMA) -> DataFrame:
     """Each part's packed columns together in one task; rows that are marks already pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def gather(rows: DataFrame, tasks: int, kinds: str, f: Callable[[Columns], Itera
         del whole
         give_back()
 
-    return rows.repartition(tasks, "part").mapInArrow(run, SCHEMA)
+    return rows.repartition(tasks, "part").mapInArrow(run, schema)
 
 
 def phrase_columns(blocks: Iterator[tuple[Phrases, np.ndarray, np.ndarray]]) -> Columns:
@@ -231,8 +231,8 @@ def cell_blocks(b: Batch, wanted: Callable[[np.ndarray], np.ndarray]) -> Iterato
             yield c, doc[pick][back], at[pick][back] + c.first - n[back]
 
 
-def key_filter(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
-    """A test for the 63-bit keys in ``rows`` (data: packed keys); None if there are none.
+def key_filter(rows: DataFrame, most: int = 63) -> Callable[[np.ndarray], np.ndarray] | None:
+    """A test for the 63-bit keys in ``rows`` (data: packed keys, of which the upper ``most`` bits count); None if there are none.
 
     The bits are set in parts by the keys' upper bits, each part in one task,
     and meet in the driver: 2**FILTER_BITS of them at most.
@@ -241,7 +241,7 @@ def key_filter(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray] | None:
     n = rows.select(F.sum(F.length("data") / 8)).first()[0]
     if not n:
         return None
-    bits = min(FILTER_BITS, max(16, int(np.ceil(np.log2(16 * n)))))
+    bits = min(FILTER_BITS, most, max(16, int(np.ceil(np.log2(16 * n)))))
     part_bits = max(0, bits - 20)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
