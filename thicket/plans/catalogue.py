@@ -137,7 +137,7 @@ def indexer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.term_statistics(I.term_frequencies(rows))
 
 
-@query(f"WITH {TF} SELECT term, doc_id, tf, CAST(doc_len AS BIGINT) AS doc_len FROM tf JOIN dl USING (doc_id) WHERE term IN {TERMS}")
+@query(f"WITH a AS (SELECT doc_id, {TOK} AS ts FROM documents), t AS (SELECT doc_id, len(ts) AS doc_len, unnest(list_filter(ts, lambda x: x IN {TERMS})) AS term FROM a) SELECT term, doc_id, count(*) AS tf, CAST(doc_len AS BIGINT) AS doc_len FROM t GROUP BY ALL")
 def postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.lookup(index(spark, sf_dir), list(TERMS)).select("term", "doc_id", "tf", "doc_len")
 
