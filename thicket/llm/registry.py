@@ -12,7 +12,7 @@ from thicket.llm.media import op3_media
 from thicket.llm.mixing import OP1_SQL, op1_mixing
 from thicket.llm.packing import op5_packing
 from thicket.llm.quality import op10_quality
-from thicket.llm.repeats import op9_repeats
+from thicket.llm.repeats import OP9_SQL, op9_repeats
 from thicket.llm.simhash import op2_simhash
 from thicket.llm.toxicity import op7_toxicity
 from thicket.llm.warc import OP8_SQL, op8_warc
@@ -40,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": OP1_SQL,
         "op4_lines": OP4_SQL,
         "op8_warc": OP8_SQL,
+        "op9_repeats": OP9_SQL,
     }

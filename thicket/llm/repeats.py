@@ -432,4 +432,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``documents``.
+
+    A null text is empty; rows that repeat a doc_id count as one place.
+    """
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every window's bytes as hex digits; windows whose hash is met once are left out before the bytes are compared.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER () AS rid FROM documents),
+b AS (SELECT rid, doc, p, substr(h, 800 * p + 1, 998) AS part FROM (SELECT rid, coalesce(doc_id, 9223372036854775807) AS doc, h, unnest(range((length(h) // 2 + 300) // 400)) AS p FROM d)),
+k AS MATERIALIZED (SELECT rid, doc, n, s, hash(s) AS k FROM (SELECT rid, doc, 400 * p + i AS n, substr(part, 2 * i + 1, 200) AS s FROM (SELECT rid, doc, p, part, unnest(range(least(400, length(part) // 2 - 99))) AS i FROM b))),
+w AS (SELECT rid, doc, n, s FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+m AS (SELECT rid, n FROM (SELECT rid, n, doc, min(doc) OVER (PARTITION BY s) AS doc0, min(n) OVER (PARTITION BY s, doc) AS n0 FROM w) WHERE doc > doc0 OR n > n0),
+g AS (SELECT rid, n, sum(CASE WHEN n > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY n) AS run FROM (SELECT rid, n, coalesce(lag(n) OVER (PARTITION BY rid ORDER BY n), -1000) AS before FROM m)),
+runs AS (SELECT rid, min(n) AS a, max(n) + 100 AS b FROM g GROUP BY rid, run),
+c AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM runs GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c.rid IS NULL THEN h ELSE list_aggregate(list_transform(range(1, len(la) + 2), lambda i: substr(h, CASE WHEN i = 1 THEN 1 ELSE 2 * lb[i - 1] + 1 END, 2 * (CASE WHEN i > len(la) THEN length(h) // 2 ELSE la[i] END - CASE WHEN i = 1 THEN 0 ELSE lb[i - 1] END))), 'string_agg', '') END)) AS kept_sha256
+FROM d LEFT JOIN c USING (rid)
+"""
