@@ -17,6 +17,10 @@ from thicket.functions.text import ln
 from thicket.operators.index import Index
 
 
+#: Different query terms that are pushed into the scans of an index.
+TERMS_MOST = 10_000
+
+
 @dataclass(frozen=True)
 class NoSmoothing:
     def probability(self, tf: Column, length: Column, background: Column) -> Column:
@@ -61,6 +65,19 @@ def each_once(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "term").distinct().withColumn("weight", F.lit(1.0))
 
 
+def narrowed(index: Index, queries: DataFrame) -> Index:
+    """``index`` with the postings and statistics of the queries' terms alone.
+
+    The terms go into the scans' filters, so a stored index, which is sorted
+    by term, is read in part. Beyond ``TERMS_MOST`` terms the joins that follow do it.
+    """
+    terms = [r.term for r in queries.where("term is not null").select("term").distinct().limit(TERMS_MOST + 1).collect()]
+    if len(terms) > TERMS_MOST:
+        return index
+    asked = F.col("term").isin(terms)
+    return Index(index.postings.where(asked), index.documents, index.term_stats.where(asked), index.corpus)
+
+
 def candidates(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, term, weight, tf: the query terms that documents hold."""
     return index.postings.join(queries, "term").select("query_id", "doc_id", "term", "weight", "tf")
@@ -79,6 +96,7 @@ def bm25_weight(tf: Column, df: Column, length: Column, n_docs: Column, n_tokens
 
 def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score; a query's distinct terms count once each."""
+    index = narrowed(index, queries)
     stats = with_statistics(index, queries.select("query_id", "term").distinct())
     rows = index.postings.join(stats, "term").join(index.documents.select("doc_id", "doc_len"), "doc_id")
     w = bm25_weight(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n_docs"), F.col("n_tokens"), k1, b)
@@ -87,6 +105,7 @@ def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) ->
 
 def tf_idf(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score: sum of tf ln(N / (1 + df)), in linear scale and with its sign."""
+    index = narrowed(index, queries)
     stats = with_statistics(index, queries.select("query_id", "term").distinct())
     rows = index.postings.join(stats, "term")
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.log(F.col("n_docs") / (1 + F.col("df")))).alias("score"))
@@ -100,6 +119,7 @@ def query_likelihood(index: Index, queries: DataFrame, smoothing, background: Ca
     need no rows. ``background`` maps (cf, n_tokens) to P(term); cf / n_tokens
     by default.
     """
+    index = narrowed(index, queries)
     p = background or (lambda cf, n: cf / n)
     stats = with_statistics(index, queries).withColumn("p", p(F.col("cf"), F.col("n_tokens")).cast("double"))
     query = stats.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight", "p"))).alias("terms"))

@@ -3,7 +3,8 @@
 Long pipelines cut their lineage by writing a table and reading it again, so a
 lost executor costs the tasks that it ran and never the stages before them.
 The folder is the one that the session names in ``spark.checkpoint.dir``; only
-where that is unset (tests, a laptop) a temporary one is made.
+where that is unset and the session is a local one (tests, a laptop) a
+temporary one is made; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """This application's own folder below ``spark.checkpoint.dir``."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="thicket-"))
         base = _local[0]
