@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from thicket.llm import registry
 
 CLASH = "size source_size target taken copies fp key node n keys w0 a b table norm words score label detections toxic bin capacity offset start piece tag data part id image n_links rank root at line".split()
-PAGES = ("op3_media", "op8_warc")
+PAGES = ("op3_media", "op4_lines", "op8_warc")
 
 
 def tables(spark, path, extra):
@@ -52,3 +52,24 @@ def test_defined_results(spark, folders, name):
         assert len(rows) == counts["pages" if name in PAGES else "documents"]
     assert rows == sorted(map(str, query(spark, f"{extra}/full").collect()))
     assert query(spark, f"{plain}/empty").count() == 0 and query(spark, f"{plain}/empty").columns == first.columns
+
+
+def test_defined_values(spark, folders):
+    """What the docstrings say of nulls, empty texts and repeated rows."""
+    run = lambda name: registry.queries()[name](spark, f"{folders[0]}/full").collect()
+    sizes = {(r.doc_id, r.size) for r in run("op1_mixing")}
+    assert {(103, 0), (105, 0), (None, 0), (104, 60_000)} <= sizes
+    empty = [r for r in run("op2_simhash") if r.fingerprint == "0" * 16]
+    assert {r.doc_id for r in empty} == {103, 105, None} and {r.component_id for r in empty} == {103}
+    page = [r for r in run("op4_lines") if r.page_id in (20, 21)]
+    assert {(r.page_id, r.host, r.n_lines, r.kept_chars) for r in page} == {(20, None, 0, 0), (21, "", 1, 0)}
+    assert {(r.bin, r.capacity) for r in run("op5_packing") if r["size"] == 0} == {(None, None)}
+    licence = {r.doc_id: r for r in run("op6_licenses")}
+    assert (licence[103].n_words, licence[103].first_word, licence[103].labels, licence[103].score) == (0, None, "", 0.0)
+    scores = {r.doc_id: r for r in run("op7_toxicity")}
+    assert scores[103].score == scores[105].score and not scores[None].held_out
+    assert {(r.payload_bytes, r.record_type, r.refers_to) for r in run("op8_warc") if r.page_id in (20, 21)} == {(0, "response", None)}
+    cut = [r for r in run("op9_repeats") if r.doc_id in (100, 101, 103)]
+    assert {(r.doc_id, r.n_removed == r.n_bytes) for r in cut} == {(100, False), (101, True), (103, True)}
+    judged = {r.doc_id: r for r in run("op10_quality")}
+    assert judged[103].base_failed and not judged[103].kept and judged[104].n_words == 60_000

@@ -121,3 +121,11 @@ def test_repeated_ids_stay_bounded(spark):
         assert np.array_equal(a, b)  # equal rows count once
     other = again.withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id().cast("string")))
     assert T.fit(other, labels, rows=90)[2] != 0
+
+
+def test_places_travel_in_few_bytes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 50, 3000):
+        at = rng.integers(0, 1 << T.BITS, n)
+        assert np.array_equal(T.unpacked(T.packed(at)), np.unique(at))
+    assert len(T.packed(rng.integers(0, 1 << T.BITS, 3000))) < 6002

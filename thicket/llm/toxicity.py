@@ -58,6 +58,17 @@ def places(text: bytes | None) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The different places in order, as steps of two bytes where all are so short."""
+    at = np.unique(found).astype(np.int64)
+    step = np.diff(at, prepend=0)
+    return step.astype(np.uint16 if not len(step) or step.max() < 1 << 16 else np.uint32).tobytes() + (b"\0" if not len(step) or step.max() < 1 << 16 else b"\1")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data[:-1], np.uint32 if data[-1] else np.uint16), dtype=np.int64).astype(np.int32)
+
+
 class Ftrl:
     """z and n of each place; the weight follows from them."""
 
@@ -113,14 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     if n > rows:
         known = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_label_id"), F.lit(1_000_000)) < int(0.95 * rows / n * 1_000_000))
     # bounded by ``rows``: the share above leaves room for chance
-    pairs = docs.join(F.broadcast(known.distinct()), F.col("doc_id") == F.col("_label_id"))
+    pairs = docs.select("doc_id", "text").join(F.broadcast(known.distinct()), F.col("doc_id") == F.col("_label_id"))
     key = F.xxhash64("text", "doc_id")
     many = pairs.count()
     if many > 2 * rows:
         pairs = pairs.where(F.pmod(key, F.lit(1_000_000)) < int(1.9 * rows / many * 1_000_000))
 
     def hashed(batch: pa.RecordBatch) -> dict:
-        data = [np.unique(places(t)).astype(np.int32).tobytes() for t in texts_of(batch, "text")]
+        data = [packed(places(t)) for t in texts_of(batch, "text")]
         return {"doc_id": batch.column(0), "key": batch.column(1), "toxic": batch.column(2), "data": pa.array(data, pa.binary())}
 
     sample = map_batches(pairs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "toxic", "text"), hashed, "doc_id long, key long, toxic int, data binary")
@@ -132,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
         for batch in batches:
             for i, k, y, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 if (i, k, y) != before:
-                    found.append(np.frombuffer(data.as_buffer().to_pybytes(), np.int32))
+                    found.append(unpacked(data.as_py()))
                     toxic.append(int(y > 0))
                 before = i, k, y
         at, w, bias = train(found, toxic)
