@@ -28,12 +28,12 @@ RATIO, MIN_PAGES = 0.05, 3
 #: Lists of boilerplate lines are broadcast up to so many lines in all (16 bytes each).
 BROADCAST_LINES = 500_000
 HOST = "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-UNSEEN = "(?is)<script[^a-z].*?</script[^>]*>|<style[^a-z].*?</style[^>]*>|<!--.*?-->"
+UNSEEN = "(?is)<(?:script[^a-z].*?</script[^>]*>|style[^a-z].*?</style[^>]*>|!--.*?-->)"
 BLOCK_TAG = "(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[^a-z0-9>][^>]*)?>"
 
 
 def bare(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def lines_of(text: Column) -> Column:
@@ -48,7 +48,7 @@ def boilerplate(docs: DataFrame, site: Column, ratio: float = RATIO, min_pages:
     """_line_site, _line_keys: the hashes of each site's boilerplate lines."""
     pages = docs.where(F.col("text").isNotNull()).select(site.alias("_line_site"), F.xxhash64("text", F.octet_length("text")).alias("_line_page"), "text")
     total = pages.select("_line_site", "_line_page").distinct().groupBy("_line_site").agg(F.count(F.lit(1)).alias("_line_pages"))
-    each = pages.select("_line_site", "_line_page", F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), key))).alias("_line_key"))
+    each = pages.select("_line_site", "_line_page", F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: bare(x) != ""), key))).alias("_line_key"))
     # equal pages are one: the second aggregate counts pages, the first makes them distinct before they move
     counts = each.distinct().groupBy("_line_site", "_line_key").agg(F.count(F.lit(1)).alias("_line_n")).where(F.col("_line_n") >= min_pages)
     common = counts.withColumnRenamed("_line_site", "_line_at").join(total, F.col("_line_at").eqNullSafe(F.col("_line_site"))).where(F.col("_line_n") > F.lit(ratio) * F.col("_line_pages"))
@@ -63,7 +63,7 @@ def with_clean(docs: DataFrame, site: Column, **kw) -> DataFrame:
         common = F.broadcast(common)
     joined = docs.join(common, site.eqNullSafe(F.col("_line_site")), "left")
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("_line_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_line_keys"), key(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")))
+    kept = F.when(F.col("_line_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_line_keys"), key(x)) | (bare(x) == "")))
     return joined.withColumn("_line_all", lines).withColumn("_line_kept", kept)
 
 
@@ -93,8 +93,9 @@ def drop_page_boilerplate(pages: DataFrame, **kw) -> DataFrame:
     """``pages`` (url, html and any other columns) with ``text``: the page's lines without its host's boilerplate."""
     if "text" in pages.columns:
         raise ValueError("the pages have a column named text already")
-    made = with_clean(pages.withColumn("text", page_text(F.col("html"))), host(F.col("url")), **kw)
-    return made.select(*(made[c] for c in pages.columns), F.array_join("_line_kept", "\n").alias("text"))
+    texts = materialize(pages.withColumn("text", page_text(F.col("html"))), "page-texts")
+    made = with_clean(texts, host(F.col("url")), **kw)
+    return made.select(*pages.columns, F.array_join("_line_kept", "\n").alias("text"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,8 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a host in it are the pages of one site each.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
-    made = with_clean(pages, F.col("host"))
+    # the texts are needed three times and cost more to make than to read
+    made = with_clean(materialize(pages, "page-texts"), F.col("host"))
     text = F.coalesce(F.array_join("_line_kept", "\n"), F.lit(""))
     n, kept = (F.coalesce(F.when(F.col("text").isNotNull(), F.size(c)), F.lit(0)) for c in ("_line_all", "_line_kept"))
     return made.select("page_id", "host", n.cast("long").alias("n_lines"), (n - kept).cast("long").alias("n_dropped"), F.length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("kept_md5"))
