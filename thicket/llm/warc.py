@@ -52,6 +52,8 @@ ARC_FIELDS = {
 BROADCAST_GROUPS = 200_000
 #: Bytes of records in an archive, and of rows that are handed on at once.
 ARCHIVE_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+#: gzip's level: members are short, and the higher levels take three times as long for a tenth less.
+LEVEL = 1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -193,7 +195,7 @@ def clean_url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "about:blank")
 
 
-def member(record: bytes, level: int = 6) -> bytes:
+def member(record: bytes, level: int = LEVEL) -> bytes:
     return gzip.compress(record, level, mtime=0)
 
 
@@ -206,7 +208,7 @@ def closed(archive: bytes) -> bytes:
     return (archive if archive[-1] == 0 else archive + member(b""))[:-1]
 
 
-def archives(records: Iterator[bytes], head: Callable[[int], bytes], level: int) -> Iterator[pa.RecordBatch]:
+def archives(records: Iterator[bytes], head: Callable[[int], bytes], level: int = LEVEL) -> Iterator[pa.RecordBatch]:
     """One row an archive: its ``head`` and records, a gzip member each."""
     n, size, held = 0, 0, []
 
@@ -239,7 +241,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
                 for i, url, body in zip(*batch.columns, strict=True):
                     yield arc_record(version, clean_url(url.as_py()), "0.0.0.0", "20240101000000", "text/html", http_block(body.as_py(), i.as_py()))
 
-        yield from archives(records(), lambda n: arc_version_block(version, name=f"pages-{task}-{n}.arc.gz"), 1)
+        yield from archives(records(), lambda n: arc_version_block(version, name=f"pages-{task}-{n}.arc.gz"))
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     save(rows.mapInArrow(run, "archive binary"), path)
@@ -302,7 +304,7 @@ def convert(spark: SparkSession, arc_path: str, path: str) -> None:
                     arc = ArcRecord(dict(zip(ARC_ROW, (f.as_py() for f in fields), strict=True)), block.as_py())
                     yield to_warc(arc, own.as_py(), target.as_py())
 
-        yield from archives(records(), lambda n: warcinfo(f"{path}/{task}-{n}.warc.gz"), 6)
+        yield from archives(records(), lambda n: warcinfo(f"{path}/{task}-{n}.warc.gz"))
 
     save(rows.select("own_id", "url", "ip", "date", "kind", "block", refers.alias("target")).mapInArrow(run, "archive binary"), path)
 
