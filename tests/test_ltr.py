@@ -45,6 +45,13 @@ def test_mini_batches_and_convergence(spark, data):
     assert [s for s, _ in L.until_converged(iter([(0.1, 0), (0.5, 0), (0.9, 0), (0.9, 1), (1.0, 2)]), drop=1)] == [0.5, 0.9, 0.9]
 
 
+def test_iterates_are_traced():
+    lines = []
+    steps = [(0.5, np.ones(1)), (0.75, np.ones(1))]
+    assert list(L.traced(iter(steps), lines.append)) == steps
+    assert lines == ["iteration 0: score 0.5, relative change nan", "iteration 1: score 0.75, relative change 0.5"]
+
+
 def test_spaces_and_runs(spark):
     run = lambda rows: spark.createDataFrame(rows, "query_id string, doc_id string, score double")
     space, rows = L.features_of_runs({"b": run([("q", "d", 2.0)]), "a": run([("q", "d", 1.0)])})

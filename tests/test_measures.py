@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from thicket.functions import text as X
 from thicket.operators import aggregates as A
 from thicket.operators import evaluation as E
 from thicket.operators import phrases as P
@@ -98,7 +99,7 @@ def test_feature_vectors(spark):
     assert A.vector_sum(data).first().features == [4, 10]
 
 
-def test_trie_scans_for_the_longest(spark):
+def test_trie_scans_for_the_longest(spark, monkeypatch):
     trie = P.Trie([("hello", 1), ("hello world", 2), ("hello bears", 3)])
     text = "there is a hello in the hello bears trie"
     assert [v for _, _, v in trie.sequential(text) if v] == [1, 3]
@@ -109,14 +110,39 @@ def test_trie_scans_for_the_longest(spark):
     phrases = P.phrase_table(spark, {"ab": ["a", "b"], "abc": ["a", "b", "c"], "b": ["b"]})
     longest = {(r.doc_id, r.start, r.end, r.phrase_id) for r in P.longest_matches(docs, phrases).collect()}
     assert longest == {(1, 0, 2, "ab"), (1, 2, 5, "abc"), (4, 0, 1, "b")}
+    twice = phrases.unionByName(spark.createDataFrame([("z", ["b"]), ("none", []), ("null", None)], phrases.schema))
+    odd = docs.unionByName(docs.where("doc_id = 1"))
+    for n in (100, 0):
+        monkeypatch.setattr(P, "BROADCAST_PHRASES", n)
+        got = sorted((r.doc_id, r.start, r.end, r.phrase_id) for r in P.longest_matches(odd, twice).collect())
+        assert got == sorted([(1, 0, 2, "ab"), (1, 2, 5, "abc")] * 2 + [(4, 0, 1, "z")])
+        assert P.longest_matches(docs.where("doc_id = 4"), phrases.where("phrase_id = 'ab'")).collect() == [(4, 0, 1, None)]
     found = {(r.doc_id, r.phrase_id, r.start) for r in P.overlapping(docs, phrases).collect()}
     assert found == {(1, "ab", 0), (1, "ab", 2), (1, "abc", 2), (1, "b", 1), (1, "b", 3), (4, "b", 0)}
     assert P.overlapping(docs, phrases.limit(0)).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     emb = spark.createDataFrame([("cat", [1.0, 2.0]), ("c", [10.0, 0.0]), ("at", [0.5, 0.5])], "term string, vec array<float>")
     docs = spark.createDataFrame([(1, ["cat", "cat", "dog"], "a cat at"), (2, [], ""), (3, None, None)], "doc_id long, terms array<string>, text string")
     assert {r.doc_id: r.vec for r in V.embed_terms(docs, emb).collect()} == {1: [2, 4], 2: [0, 0], 3: [0, 0]}
     assert {r.doc_id: r.vec for r in V.embed_text(docs, emb).collect()} == {1: [1.5, 2.5], 2: [0, 0], 3: [0, 0]}
+    monkeypatch.setattr(V, "BROADCAST_VALUES", 0)
+    odd = docs.unionByName(docs.where("doc_id = 1")).unionByName(spark.createDataFrame([(4, [], "\U0001f600at")], docs.schema))
+    assert sorted((r.doc_id, r.vec) for r in V.embed_text(odd, emb).collect()) == [(1, [1.5, 2.5]), (1, [1.5, 2.5]), (2, [0, 0]), (3, [0, 0]), (4, [0.5, 0.5])]
     assert [(r.term, r.score) for r in V.nearest(emb, [1, 1], 2).collect()] == [("c", 10), ("cat", 3)]
+
+
+def test_numbers_over_all_rows(spark):
+    rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id AS v").repartition(7)
+    got = {r.k: r.at for r in A.numbered(rows, ["k"], name="at").collect()}
+    assert got == {k: k for k in range(1000)}
+    down = {r.k: r.at for r in A.numbered(rows, [F.col("k").desc()], name="at").collect()}
+    assert down == {k: 999 - k for k in range(1000)}
+    assert A.numbered(rows.limit(0), ["k"]).collect() == []
+
+
+def test_random_vectors(spark):
+    rows = spark.range(50).select(X.random_vector(3, -1, 1, seed=4).alias("v")).collect()
+    assert rows == spark.range(50).select(X.random_vector(3, -1, 1, seed=4).alias("v")).collect()
+    assert all(len(r.v) == 3 and all(-1 <= x <= 1 for x in r.v) for r in rows) and len({tuple(r.v) for r in rows}) == 50

@@ -151,3 +151,8 @@ def vector_unit(a: Column) -> Column:
     """Divided by its norm; a zero vector stays."""
     n = vector_norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+
+
+def random_vector(dim: int, low: float = 0.0, high: float = 1.0, seed: int = 0) -> Column:
+    """A vector of uniform numbers for each row, the same for equal seeds and partitions."""
+    return F.array(*((F.lit(low) + F.rand(seed + i) * (high - low)).cast("float") for i in range(dim)))

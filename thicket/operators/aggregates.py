@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.order import global_rank
+
 
 def keyed_fold(rows: DataFrame, by: Sequence[str], **folds: Column) -> DataFrame:
     """Any aggregates of each key."""
@@ -190,11 +192,10 @@ def z_restored(rows: DataFrame, stats: DataFrame, column: str = "features") -> D
 
 
 def numbered(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index") -> DataFrame:
-    """A running number from 0. With no key all rows meet in one window: for tables of bounded size."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return rows.withColumn(name, F.row_number().over(w) - 1)
-
-
+    """A running number from 0; without a key over all rows, by ranges of the order."""
+    if not by:
+        return global_rank(rows, [F.col(c) if isinstance(c, str) else c for c in order], name)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
 def python_fold(rows: DataFrame, by: Sequence[str], f: Callable, schema: str) -> DataFrame:

@@ -9,6 +9,7 @@ driver.
 from __future__ import annotations
 
 import json
+import logging
 import math
 import random
 from collections.abc import Callable, Iterator, Sequence
@@ -19,9 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.operators.aggregates import features_from
+from thicket.operators.aggregates import features_from, numbered
 from thicket.operators.ranking import rank
 
+_log = logging.getLogger(__name__)
+
 #: Steps tried for a weight: up and down by powers of two, and none.
 STEPS = tuple(s * 0.0001 * 2**n for n in range(1, 21) for s in (1, -1)) + (0.0,)
 
@@ -208,6 +211,16 @@ def until_converged(iterates: Iterator[tuple[float, np.ndarray]], drop: int = 2,
     return out
 
 
+def traced(iterates: Iterator[tuple[float, np.ndarray]], report: Callable[[str], object] = _log.info) -> Iterator[tuple[float, np.ndarray]]:
+    """The same iterates; each one's score and its change since the one before are reported."""
+    before = math.nan
+    for i, (score, w) in enumerate(iterates):
+        change = (score - before) / abs(before) if before else math.nan
+        report(f"iteration {i}: score {score:.6g}, relative change {change:.3g}")
+        before = score
+        yield score, w
+
+
 def mini_batches(data: DataFrame, totals: DataFrame, start: Sequence[float], seed: int = 0, batch_steps: int = 1, batch_size: int = 100, least: int = 1) -> Iterator[np.ndarray]:
     """Weights after each step; the steps of a batch see the queries drawn for it (with replacement, then each once)."""
     queries = [r[0] for r in data.select("query_id").distinct().orderBy("query_id").collect()]
@@ -234,12 +247,12 @@ def mini_batched_and_evaluated(data: DataFrame, totals: DataFrame, start: Sequen
 
 
 def learn(space: Space, data: DataFrame, totals: DataFrame, seed: int = 0, batch_size: int | None = None, least: int = 1, **convergence) -> tuple[Model, float]:
-    """The last iterate of an ascent from equal weights. data: query_id, doc_id, features, relevance."""
+    """The last iterate of an ascent from equal weights; each is logged. data: query_id, doc_id, features, relevance."""
     kept = data.persist()
     try:
         start = [1.0] * len(space)
         steps = coordinate_ascent(kept, totals, start, seed, least=least) if batch_size is None else mini_batched_and_evaluated(kept, totals, start, seed, batch_size=batch_size, least=least)
-        score, w = until_converged(steps, **convergence)[-1]
+        score, w = until_converged(traced(steps), **convergence)[-1]
     finally:
         kept.unpersist()
     return Model(space, tuple(float(x) for x in w)), score
@@ -263,8 +276,7 @@ def fold_numbers(queries: DataFrame, k: int) -> DataFrame:
     size = n // k + 1 if n >= 2 * k else n // k
     if size == 0:
         raise ValueError(f"fewer than {k} queries")
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id")) - 1  # the judged queries, whatever the corpus
-    return distinct.select("query_id", F.floor(at / size).cast("int").alias("fold"))
+    return numbered(distinct, ["query_id"], name="_at").select("query_id", F.floor(F.col("_at") / size).cast("int").alias("fold"))
 
 
 def k_folds(data: DataFrame, folds: Sequence[Sequence], train: Callable[[int, DataFrame], object]) -> list[tuple[DataFrame, object]]:

@@ -2,19 +2,22 @@
 
 A phrase table has rows (phrase_id, tokens). Overlapping matches are found
 without Python: the windows of the lengths that occur are joined to the
-phrases. Leftmost longest matches need a scan from left to right and take a
-trie in Python workers.
+phrases. Leftmost longest matches need a walk from left to right and take a
+trie in Python workers, or beyond a bound the join's matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thicket.functions.text import merge_positions
+from thicket.scratch import materialize
 
 #: A phrase table with up to so many rows is broadcast (some 100 bytes each).
 BROADCAST_PHRASES = 100_000
@@ -135,24 +138,68 @@ def contains_all(tokens: Column, wanted: Sequence[str]) -> Column:
 def longest_matches(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens") -> DataFrame:
     """doc_id, start, end, phrase_id (null outside any phrase): leftmost longest, without overlaps.
 
-    The phrases travel to every worker as a trie: for tables that fit there.
+    Of equal phrases the largest id counts; phrases without tokens match
+    nothing. Up to ``BROADCAST_PHRASES`` phrases travel to every worker as a
+    trie; more are joined with the documents' windows.
     """
-    kind = phrases.schema["phrase_id"].dataType.simpleString()
-    entries = [(tuple(r.tokens), r.phrase_id) for r in phrases.select("phrase_id", "tokens").collect() if r.tokens]
+    distinct = phrases.where(F.size("tokens") > 0).groupBy("tokens").agg(F.max("phrase_id").alias("phrase_id"))
+    named = docs.select("doc_id", F.col(tokens).alias("tokens"))
+    if distinct.count() > BROADCAST_PHRASES:
+        return longest_joined(named, distinct)
+    kind = phrases.schema["phrase_id"].dataType
+    entries = [(tuple(r.tokens), r.phrase_id) for r in distinct.collect()]
     held = docs.sparkSession.sparkContext.broadcast(entries)
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(held.value)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for start, end, value in trie.sequential(row or []):
-                    for column, x in zip(out, (doc, start, end, value), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string() if kind == "string" else pa.int64() if kind == "bigint" else None)], ["doc_id", "start", "end", "phrase_id"])
-
-    return docs.select("doc_id", tokens).mapInArrow(run, f"doc_id {doc_kind}, start int, end int, phrase_id {kind}")
+            yield _match_rows(batch.column(0), (trie.sequential(row or []) for row in batch.column(1).to_pylist()), to_arrow_type(kind))
+
+    return named.mapInArrow(run, _match_schema(docs, kind))
+
+
+def _match_schema(docs: DataFrame, kind: T.DataType) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, end int, phrase_id {kind.simpleString()}"
+
+
+def _match_rows(ids: pa.Array, found: Iterable[Iterable[tuple[int, int, object]]], kind: pa.DataType) -> pa.RecordBatch:
+    of, starts, ends, values = [], [], [], []
+    for i, row in enumerate(found):
+        for start, end, value in row:
+            of.append(i)
+            starts.append(start)
+            ends.append(end)
+            values.append(value)
+    columns = [ids.take(pa.array(of, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, kind)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "phrase_id"])
+
+
+def longest_joined(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``longest_matches`` of documents (doc_id, tokens) for distinct phrases of any number.
+
+    The longest phrase at each place comes from a join; then one document's
+    places at a time are walked from left to right.
+    """
+    kind = phrases.schema["phrase_id"].dataType
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "phrase-rows")
+    places = overlapping(rows.select("_row", "tokens"), phrases).groupBy("_row", "start").agg(F.max(F.struct("length", "phrase_id")).alias("m"))
+    longest = places.groupBy("_row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("m.length")).alias("end"), F.col("m.phrase_id").alias("value"))).alias("places"))
+    joined = rows.join(longest, "_row", "left").select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"), "places")
+
+    def walk(n: int, places: list[dict]) -> Iterator[tuple[int, int, object]]:
+        at = {p["start"]: (p["end"], p["value"]) for p in places}
+        i = 0
+        while i < n:
+            end, value = at.get(i, (i + 1, None))
+            yield i, end, value
+            i = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield _match_rows(batch.column(0), (walk(n, places or []) for n, places in pairs), to_arrow_type(kind))
+
+    return joined.mapInArrow(run, _match_schema(docs, kind))
 
 
 def phrase_table(spark: SparkSession, phrases: dict[str, Sequence[str]]) -> DataFrame:

@@ -6,11 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thicket.functions.text import vector_dot
-from thicket.operators.phrases import Trie
+from thicket.operators.phrases import Trie, longest_joined
+from thicket.scratch import materialize
+
+#: Numbers of an embedding (8 bytes each) that may travel to every worker.
+BROADCAST_VALUES = 5_000_000
 
 
 def dimension(embedding: DataFrame, vec: str = "vec") -> int:
@@ -24,19 +28,25 @@ def sums(rows: DataFrame, by: Sequence[str], dim: int, vec: str = "vec") -> Data
 
 
 def embed_terms(docs: DataFrame, embedding: DataFrame, terms: str = "terms") -> DataFrame:
-    """doc_id, vec: the sum over the terms that have a vector; the zero vector without any."""
-    dim = dimension(embedding)
-    rows = docs.select("doc_id", F.explode_outer(terms).alias("term")).join(embedding, "term", "left")
-    return sums(rows, ("doc_id",), dim)
+    """doc_id, vec: the sum over the terms that have a vector; the zero vector without any.
+
+    A document's equal terms are counted first, so one row a term is joined.
+    """
+    counted = docs.select("doc_id", F.explode_outer(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("_n"))
+    rows = counted.join(embedding, "term", "left").withColumn("vec", F.transform("vec", lambda x: x.cast("double") * F.col("_n")))
+    return sums(rows, ("doc_id",), dimension(embedding))
 
 
 def embed_text(docs: DataFrame, embedding: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, vec: the sum over leftmost longest matches of the vocabulary in the text's characters.
 
-    The embedding travels to every worker, as a scan over characters needs it whole.
+    An embedding of up to ``BROADCAST_VALUES`` numbers travels to every worker;
+    a larger one is joined with what its terms match.
     """
+    dim = dimension(embedding)
+    if embedding.count() * dim > BROADCAST_VALUES:
+        return _embed_joined(docs.select("doc_id", F.col(text).alias("text")), embedding)
     rows = [(r.term, np.asarray(r.vec, np.float64)) for r in embedding.collect()]
-    dim = len(rows[0][1]) if rows else 0
     held = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +58,19 @@ def embed_text(docs: DataFrame, embedding: DataFrame, text: str = "text") -> Dat
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vec array<double>")
 
 
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _embed_joined(docs: DataFrame, embedding: DataFrame) -> DataFrame:
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "embed-rows")
+    words = embedding.where("term <> ''").select(_characters(F.col("term")).alias("tokens"), F.col("term").alias("phrase_id"))
+    found = longest_joined(rows.select(F.col("_row").alias("doc_id"), _characters(F.col("text")).alias("tokens")), words)
+    terms = found.where("phrase_id is not null").groupBy("doc_id").agg(F.collect_list("phrase_id").alias("terms"))
+    summed = embed_terms(rows.select(F.col("_row").alias("doc_id")).join(terms, "doc_id", "left"), embedding)
+    return rows.select("_row", "doc_id").join(summed.toDF("_row", "vec"), "_row").select("doc_id", "vec")
+
+
 def nearest(embedding: DataFrame, vector: Sequence[float], k: int, key: str = "term", vec: str = "vec") -> DataFrame:
     """key, score: the k rows with the largest dot product with one vector."""
     query = F.array(*(F.lit(float(x)) for x in vector))
