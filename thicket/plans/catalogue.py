@@ -167,23 +167,38 @@ def segment_merge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.segment_offsets(docs).select("segment", "n", "offset")
 
 
-@query(
-    f"""WITH a AS (SELECT doc_id, {TOK} AS ts FROM documents), t AS (SELECT doc_id, unnest(ts) AS w, unnest(range(len(ts))) AS p FROM a),
+_PLACES = f"""a AS (SELECT doc_id, {TOK} AS ts FROM documents), t AS (SELECT doc_id, unnest(ts) AS w, unnest(range(len(ts))) AS p FROM a),
 b AS (SELECT x.doc_id, x.p, x.w || ' ' || y.w AS phrase_id FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.p = x.p + 1 WHERE x.w IN ('of', 'and') AND y.w = 'the'),
-c AS (SELECT x.doc_id, x.p, 'the of the' AS phrase_id FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.p = x.p + 1 JOIN t z ON x.doc_id = z.doc_id AND z.p = x.p + 2 WHERE x.w = 'the' AND y.w = 'of' AND z.w = 'the')
-SELECT doc_id, phrase_id, CAST(p AS INTEGER) AS start FROM (SELECT * FROM b UNION ALL SELECT * FROM c)"""
-)
+c AS (SELECT x.doc_id, x.p, 'the of the' AS phrase_id FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.p = x.p + 1 JOIN t z ON x.doc_id = z.doc_id AND z.p = x.p + 2 WHERE x.w = 'the' AND y.w = 'of' AND z.w = 'the')"""
+
+
+@query(f"WITH {_PLACES} SELECT doc_id, phrase_id, CAST(p AS INTEGER) AS start FROM (SELECT * FROM b UNION ALL SELECT * FROM c)")
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenise(F.col("text")).alias("tokens"))
     return P.overlapping(docs, P.phrase_table(spark, PHRASES)).select("doc_id", "phrase_id", "start")
 
 
-@query()
+# no two of the phrases begin with the same word, so each place has one match
+_LONGEST = f"""WITH RECURSIVE {_PLACES},
+m AS (SELECT doc_id, p, p + 2 AS e, phrase_id FROM b UNION ALL SELECT doc_id, p, p + 3 AS e, phrase_id FROM c),
+n AS (SELECT x.doc_id, x.p, min(y.p) AS q FROM m x JOIN m y ON x.doc_id = y.doc_id AND y.p >= x.e GROUP BY x.doc_id, x.p),
+g AS (SELECT doc_id, min(p) AS p FROM m GROUP BY doc_id UNION ALL SELECT n.doc_id, n.q AS p FROM g JOIN n ON g.doc_id = n.doc_id AND g.p = n.p)
+SELECT m.doc_id, CAST(m.p AS INTEGER) AS start, CAST(m.e AS INTEGER) AS "end", m.phrase_id FROM g JOIN m ON g.doc_id = m.doc_id AND g.p = m.p"""
+
+
+@query(_LONGEST)
 def longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenise(F.col("text")).alias("tokens"))
     return P.longest_matches(docs, P.phrase_table(spark, PHRASES)).where("phrase_id is not null")
 
 
+@query(_LONGEST)
+def longest_matches_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a trie, as for phrase tables of any size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokenise(F.col("text")).alias("tokens"))
+    return P.longest_joined(docs, P.phrase_table(spark, PHRASES)).where("phrase_id is not null")
+
+
 @query(
     """WITH p AS (SELECT user_id AS doc_id, event_type AS term, count(*) AS tf FROM events GROUP BY ALL)
 SELECT doc_id, term, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS doc_len, count(*) OVER (PARTITION BY term) AS df, CAST(sum(tf) OVER (PARTITION BY term) AS BIGINT) AS cf FROM p"""
@@ -474,6 +489,12 @@ def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.numbered(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ("ts", "event_id"), ("user_id",)).select("event_id", "user_id", F.col("index").cast("long").alias("index"))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS index FROM events")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running number over all events, whichever tasks they are in."""
+    return A.numbered(table(spark, sf_dir, "events").select("event_id", "ts"), ("ts", "event_id")).select("event_id", F.col("index").cast("long").alias("index"))
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 
