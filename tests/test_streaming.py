@@ -46,3 +46,26 @@ def test_top_k_of_a_stream(spark, tmp_path):
     S.top_k_stream(scored, str(tmp_path / "top"), str(tmp_path / "check"), 2).awaitTermination()
     best = S.latest(spark, str(tmp_path / "top")).orderBy("rank").collect()
     assert [(r.doc_id, r["rank"]) for r in best] == [(2, 1), (5, 2)] or [r.score for r in best] == [4.0, 3.0]
+
+
+def test_top_k_in_state(spark, tmp_path):
+    rows = [("q", i, float(i * 7 % 5)) for i in range(9)] + [("r", 1, 1.0), ("q", 4, None), ("q", None, 9.0), ("q", 2, 4.0), (None, 5, 2.0)]
+    src = tmp_path / "in"
+    for i in range(0, len(rows), 4):
+        spark.createDataFrame(rows[i : i + 4], "query_id string, doc_id long, score double").coalesce(1).write.mode("append").parquet(str(src))
+    scored = spark.readStream.schema("query_id string, doc_id long, score double").option("maxFilesPerTrigger", 1).parquet(str(src))
+    last = {}
+
+    def note(df, batch):
+        fresh = {}
+        for r in df.collect():
+            fresh.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+        last.update({q: sorted(v) for q, v in fresh.items()})
+
+    S.top_k_state(scored, 3).writeStream.foreachBatch(note).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert last == {"q": sorted_top(rows, "q", 3), "r": [(1, 1, 1.0)], None: [(1, 5, 2.0)]}
+
+
+def sorted_top(rows, query, k):
+    good = {(d, s) for q, d, s in rows if q == query and d is not None and s is not None}
+    return [(i + 1, d, s) for i, (d, s) in enumerate(sorted(good, key=lambda x: (-x[1], x[0]))[:k])]

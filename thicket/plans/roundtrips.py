@@ -7,7 +7,7 @@ them again; its SQL says what must come back.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import text as X
@@ -434,6 +434,17 @@ def stream_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.latest(spark, path).select("query_id", "doc_id", "score", "rank")
 
 
+@query(ranked_sql("SELECT lang AS query_id, doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents", 7))
+def stream_best_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by keyed state; of each key the last ranking that a batch sent."""
+    scored = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), "doc_id", F.col("n_chars").cast("double").alias("score"))
+    path = fresh_path(spark, "changed")
+    writer = S.top_k_state(streamed(spark, scored, 3), 7).writeStream.outputMode("update").foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch:010d}"))
+    writer.option("checkpointLocation", fresh_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    sent = spark.read.parquet(path).withColumn("last", F.max("batch").over(Window.partitionBy("query_id")))
+    return sent.where("batch = last").select("query_id", "doc_id", "score", "rank")
+
+
 # --- folds, sets, spaces, vectors -----------------------------------------------------
 
 

@@ -7,9 +7,13 @@ batches' small files as one segment.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from thicket.operators import index as I
 from thicket.operators.ranking import rank
@@ -79,6 +83,38 @@ def top_k_stream(scored: DataFrame, path: str, checkpoint: str, k: int, **trigge
     return scored.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def top_k_state(scored: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` so far of each query of a streaming table (query_id, doc_id, score), for output mode ``update``.
+
+    A query's state is its ``k`` rows; a batch returns the rankings of the
+    queries that it changes: query_id, doc_id, score, rank. A pair that comes
+    again with the same score counts once. Rows of a hot query come in
+    Arrow batches, never all at once. Null and NaN scores are left out; null
+    doc_ids are too.
+    """
+    doc = scored.schema["doc_id"].dataType.simpleString()
+    key = scored.schema["query_id"].dataType.simpleString()
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.drop_duplicates().sort_values(["score", "doc_id"], ascending=[False, True], kind="stable").head(k)
+
+    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = pd.DataFrame({"doc_id": list(state.get[0]), "score": list(state.get[1])}) if state.exists else None
+        now = before
+        for batch in batches:
+            rows = batch[["doc_id", "score"]]
+            now = best(rows if now is None or now.empty else pd.concat([now, rows], ignore_index=True))
+        if now is None or (before is not None and now.reset_index(drop=True).equals(before)):
+            return
+        state.update((now["doc_id"].tolist(), now["score"].tolist()))
+        yield pd.DataFrame({"query_id": [name[0]] * len(now), "doc_id": now["doc_id"].to_numpy(), "score": now["score"].to_numpy(), "rank": range(1, len(now) + 1)})
+
+    rows = scored.select("query_id", "doc_id", F.col("score").cast("double").alias("score")).where("doc_id is not null and score is not null and not isnan(score)")
+    return rows.groupBy("query_id").applyInPandasWithState(
+        update, f"query_id {key}, doc_id {doc}, score double, rank int", f"docs array<{doc}>, scores array<double>", "update", GroupStateTimeout.NoTimeout
+    )
+
+
 def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The table of the last batch, or of the last before a number."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
