@@ -1,9 +1,9 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Each document's rule statistics are counted once and written. The forest is
-fitted and its cut-off set on a bounded sample of labelled rows; every document
-is then scored. Where labels lack, only the subsamples that the trees of an
-isolation forest draw anyway are taken from all rows.
+fitted on the subsamples that the trees of an isolation forest draw anyway, here
+from all labelled rows (from all rows where labels lack). The cut-off
+is set on the scores of all labelled rows; every document is then scored.
 
 Defined cases: a null or empty text has no words, fails the base rules and is
 not kept; a null doc_id is scored like any other and is never a labelled row;
@@ -24,9 +24,11 @@ from thicket.scratch import materialize
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
-#: Rows on which the forest is fitted, and labelled rows on which the cut-off is set, at most.
-FIT_ROWS, LABEL_ROWS = 20_000, 50_000
 TREES, SUBSAMPLE = 128, 256
+#: Rows that the trees draw together.
+FIT_ROWS = TREES * SUBSAMPLE
+#: Cut-offs that are told apart: their multiples of 1 / CUTS.
+CUTS = 1_000_000
 #: Share of labelled bad rows in the forest's sample, at most.
 CONTAMINATION = 0.04
 #: Share of the labelled good rows that the cut-off may reject.
@@ -173,30 +175,37 @@ def base_failed() -> F.Column:
 def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
     """The forest and the score from which a document is an anomaly.
 
-    The forest sees the labelled good rows and few bad ones, ``CONTAMINATION``
-    of the sample at most: enough for its splits to span what bad rows do, too
-    few for these to look usual. The cut-off is the one that catches most of
-    the bad rows and rejects at most ``FALSE_REJECTS`` of the good ones.
+    The trees draw from the labelled good rows and few bad ones, ``CONTAMINATION``
+    of the good at most: enough for their splits to span what bad rows do, too
+    few for these to look usual. The cut-off is the one that, over all labelled
+    rows, catches most of the bad and rejects at most ``FALSE_REJECTS`` of the
+    good ones; scores are counted by ``CUTS`` steps, so the driver gets
+    as many rows at most.
     """
     passed = stats.where(~base_failed())
-    known = labels.where("quality is not null").select(F.col("doc_id").alias("_label_id"), "quality")
-    joined = passed.join(known, F.col("doc_id") == F.col("_label_id")).drop("_label_id")
-    rows = as_arrays(bounded(joined, LABEL_ROWS, "labels").orderBy(F.xxhash64(F.lit("forest"), "doc_id"), "doc_id", "quality", *COUNTS, *EXTRA))
-    good = rows["quality"] > 0 if len(rows["quality"]) else np.zeros(0, bool)
-    if not good.any() or good.all():
+    known = labels.where("quality is not null").select(F.col("doc_id").alias("_label_id"), (F.col("quality") > 0).alias("good"))
+    joined = materialize(passed.join(known, F.col("doc_id") == F.col("_label_id")).drop("_label_id"), "labelled")
+    seen = {r.good: r["count"] for r in joined.groupBy("good").count().collect()}
+    if len(seen) < 2:
         # the trees' own subsamples, drawn from all rows
         x = features(as_arrays(bounded(passed, TREES * SUBSAMPLE, "forest").orderBy("doc_id", *COUNTS, *EXTRA)))
         return Forest(x if len(x) else np.zeros((2, 6))), DEFAULT_CUT
-    x = features(rows)
-    usual = x[good][:FIT_ROWS]
-    forest = Forest(np.concatenate([usual, x[~good][: max(1, int(CONTAMINATION * len(usual)))]]))
-    score = forest.score(x)
-    cuts = np.unique(score)
-    clean, bad = np.sort(score[good]), np.sort(score[~good])
-    rejected = 1 - np.searchsorted(clean, cuts, "right") / len(clean)
-    caught = 1 - np.searchsorted(bad, cuts, "right") / len(bad)
+    order = [F.xxhash64(F.lit("forest"), "doc_id"), "doc_id", *COUNTS, *EXTRA]
+    usual = features(as_arrays(bounded(joined.where("good"), FIT_ROWS, "labels").orderBy(*order)))
+    few = max(1, int(CONTAMINATION * len(usual)))
+    # a multiple of what is needed, of which the first are taken
+    forest = Forest(np.concatenate([usual, features(as_arrays(bounded(joined.where("not good"), 8 * few, "labels").orderBy(*order).limit(few)))]))
+
+    def score(batch: pa.RecordBatch) -> dict:
+        x = {c: np.asarray(batch.column(i)) for i, c in enumerate(batch.schema.names[:-1])}
+        return {"cut": pa.array(np.ceil(forest.score(features(x)) * CUTS).astype(np.int64)), "good": batch.column(batch.num_columns - 1)}
+
+    scored = map_batches(joined.select("doc_id", *COUNTS, *EXTRA, "good"), score, "cut long, good boolean")
+    counted = as_arrays(scored.groupBy("cut").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n")).orderBy("cut"))
+    rejected = 1 - np.cumsum(counted["good"]) / seen[True]
+    caught = 1 - np.cumsum(counted["n"] - counted["good"]) / seen[False]
     gain = np.where(rejected <= FALSE_REJECTS, caught - rejected, -1)
-    return forest, float(cuts[int(gain.argmax())])
+    return forest, float(counted["cut"][int(gain.argmax())] / CUTS)
 
 
 def apply_forest(stats: DataFrame, forest: Forest, cut: float) -> DataFrame:
