@@ -8,13 +8,18 @@ that a lookup reads few row groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.functions import text as X
+from thicket.functions.batches import parts
+from thicket.operators.ranking import rank
 
 
 @dataclass
@@ -23,6 +28,8 @@ class Index:
     documents: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    #: doc_id, doc_len, counts: the same postings, a row a document; None where they aren't kept so.
+    rows: DataFrame | None = None
 
 
 def term_rows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,6 +41,51 @@ def term_frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted(docs: DataFrame, text: str = "text", terms: Collection[str] | None = None) -> DataFrame:
+    """doc_id, doc_len, counts: of each row by itself its number of terms and an array of (term, tf); with ``terms`` of these alone.
+
+    A row holds all its terms, so nothing is shuffled.
+    """
+    wanted = None if terms is None else frozenset(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(X.LATIN_TERM).findall
+        for batch in (p for b in batches for p in parts(b, 1)):
+            lengths, ends, held, tfs = [], [0], [], []
+            for t in batch.column(1).to_pylist():
+                found = find(t) if t else []
+                lengths.append(len(found))
+                counts = Counter(found if wanted is None else filter(wanted.__contains__, found))
+                held += counts.keys()
+                tfs += counts.values()
+                ends.append(len(held))
+            pairs = pa.StructArray.from_arrays([pa.array(held, pa.string()), pa.array(tfs, pa.int64())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["doc_id", "doc_len", "counts"])
+
+    folded = docs.select("doc_id", X.fold_case(F.col(text)).alias("text"))
+    return folded.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc_len bigint, counts array<struct<term:string,tf:bigint>>")
+
+
+def repeats(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id or have none; reads the ids alone."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").isEmpty()
+
+
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, term, tf of the documents; shuffled only where rows share a doc_id or have none."""
+    rows = counted(docs, text).select("doc_id", F.explode("counts").alias("c")).select("doc_id", "c.term", "c.tf")
+    return rows.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")) if repeats(docs) else rows
+
+
+def top_terms(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """doc_id, term, tf, rank: each document's ``k`` most frequent terms, cut where they are counted."""
+    if repeats(docs):
+        return rank(frequencies(docs, text), k, by=("doc_id",), score="tf", tie=("term",))
+    ordered = F.sort_array(F.transform("counts", lambda c: F.struct((-c["tf"]).alias("n"), c["term"].alias("term"))))
+    best = counted(docs, text).select("doc_id", F.posexplode(F.slice(ordered, 1, k)).alias("at", "c"))
+    return best.select("doc_id", "c.term", (-F.col("c.n")).alias("tf"), (F.col("at") + 1).alias("rank"))
+
+
 def document_lengths(tf: DataFrame) -> DataFrame:
     return tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
 
@@ -73,13 +125,35 @@ def build(docs: DataFrame, text: str = "text", store: Callable[[DataFrame], Data
     ``store`` writes the postings and reads them back, so that the other tables
     are made of them and the texts are read once.
     """
-    tf = term_frequencies(term_rows(docs, text)).select("term", "doc_id", "tf")
+    tf = frequencies(docs, text).select("term", "doc_id", "tf")
     if store is not None:
         tf = store(tf)
     lengths = docs.select(*(c for c in docs.columns if c != text)).join(document_lengths(tf), "doc_id", "left").fillna(0, ["doc_len"])
     return Index(tf, lengths, term_statistics(tf), corpus_statistics(lengths))
 
 
+def build_for(docs: DataFrame, terms: Collection[str], text: str = "text", store: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """What ``build`` makes, with the postings and statistics of some terms alone; lengths and corpus totals are whole.
+
+    The texts are read once, and a document's few counts are stored with its
+    length; the postings have doc_len, so that they needn't meet the documents.
+    """
+    if repeats(docs):
+        whole, asked = build(docs, text, store), F.col("term").isin(list(terms))
+        return Index(whole.postings.where(asked), whole.documents, whole.term_stats.where(asked), whole.corpus)
+    rows = counted(docs, text, terms)
+    if store is not None:
+        rows = store(rows)
+    tf = rows.select("doc_id", "doc_len", F.explode("counts").alias("c")).select("c.term", "doc_id", "c.tf", "doc_len")
+    lengths = rows.select("doc_id", "doc_len")
+    return Index(tf, lengths, term_statistics(tf), corpus_statistics(lengths), rows)
+
+
+def with_lengths(index: Index, rows: DataFrame) -> DataFrame:
+    """``rows`` of the index's postings with their documents' doc_len."""
+    return rows if "doc_len" in rows.columns else rows.join(index.documents.select("doc_id", "doc_len"), "doc_id")
+
+
 def positional_postings(terms: DataFrame) -> DataFrame:
     """term, doc_id, tf, positions of rows (doc_id, term, token_pos, char_pos), in the order of token_pos."""
     at = F.struct("token_pos", "char_pos")
@@ -101,7 +175,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 def lookup(index: Index, terms: list[str]) -> DataFrame:
     """Postings of the terms with their documents; absent terms have no rows. The filter reaches the scan."""
-    return index.postings.where(F.col("term").isin(terms)).join(index.documents, "doc_id")
+    found = index.postings.where(F.col("term").isin(terms))
+    return found if "doc_len" in found.columns else found.join(index.documents, "doc_id")
 
 
 def lookup_document(index: Index, doc_id: int) -> DataFrame:
