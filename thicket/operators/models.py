@@ -7,18 +7,30 @@ are the candidates. Scores of query likelihood are natural logarithms.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thicket.functions.text import ln
-from thicket.operators.index import Index
+from thicket.operators.index import Index, with_lengths
 
 
 #: Different query terms that are pushed into the scans of an index.
 TERMS_MOST = 10_000
+#: Rows of queries (some 100 bytes each) that may travel to every worker.
+QUERY_ROWS = 100_000
+#: Numbers (8 bytes each) of the table of queries x terms that may travel to every worker, and of a block of documents x terms there.
+QUERY_VALUES = 4_000_000
+BLOCK_VALUES = 1_000_000
+#: Scores closer than this may change places when they are rounded.
+MARGIN = 1e-6
 
 
 @dataclass(frozen=True)
@@ -78,9 +90,15 @@ def narrowed(index: Index, queries: DataFrame) -> Index:
     return Index(index.postings.where(asked), index.documents, index.term_stats.where(asked), index.corpus)
 
 
+def few(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``rows``, of which there are no more than of the queries, broadcast where these are few."""
+    return F.broadcast(rows) if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else rows
+
+
 def candidates(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, term, weight, tf: the query terms that documents hold."""
-    return index.postings.join(queries, "term").select("query_id", "doc_id", "term", "weight", "tf")
+    kept = [c for c in ("doc_len",) if c in index.postings.columns]
+    return index.postings.join(queries, "term").select("query_id", "doc_id", "term", "weight", "tf", *kept)
 
 
 def with_statistics(index: Index, rows: DataFrame) -> DataFrame:
@@ -98,16 +116,79 @@ def bm25(index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75) ->
     """query_id, doc_id, score; a query's distinct terms count once each."""
     index = narrowed(index, queries)
     stats = with_statistics(index, queries.select("query_id", "term").distinct())
-    rows = index.postings.join(stats, "term").join(index.documents.select("doc_id", "doc_len"), "doc_id")
+    rows = with_lengths(index, index.postings.join(few(stats, queries), "term"))
     w = bm25_weight(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n_docs"), F.col("n_tokens"), k1, b)
     return rows.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
 
 
+def bm25_best(index: Index, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Of ``bm25`` all rows that can be among a query's ``k`` best, whether scores are rounded (to six digits or more) before or not.
+
+    An index that keeps its documents' rows is scored row by row against all
+    queries, and a task gives out its best alone: rows of documents x queries
+    are never made. Without such rows, and for more queries than
+    ``QUERY_VALUES`` holds, it is ``bm25``.
+    """
+    if index.rows is None or not isinstance(index.rows.schema["doc_id"].dataType, T.IntegralType):
+        return bm25(index, queries, k1, b)
+    pairs = queries.select("query_id", "term").where("term is not null").distinct().limit(QUERY_ROWS + 1).collect()
+    names, terms = list(dict.fromkeys(r.query_id for r in pairs)), list(dict.fromkeys(r.term for r in pairs))
+    if len(pairs) > QUERY_ROWS or len(names) * len(terms) > QUERY_VALUES:
+        return bm25(index, queries, k1, b)
+    place, column = {n: i for i, n in enumerate(names)}, {t: i for i, t in enumerate(terms)}
+    n_docs, n_tokens = index.corpus.first()
+    weights = np.zeros((len(terms), len(names)))
+    df = {r.term: r.df for r in index.term_stats.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").collect()}  # counted above
+    for r in pairs:
+        n = df.get(r.term, 0)
+        weights[column[r.term], place[r.query_id]] = np.log(1 + (n_docs - n + 0.5) / (n + 0.5)) * (k1 + 1)
+    id_types = [to_arrow_type(index.rows.schema["doc_id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)]
+    held = index.rows.sparkSession.sparkContext.broadcast((names, terms, weights))
+
+    def best(found: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The rows that stay; ``least`` becomes each query's k-th best score. Of equal scores the k first documents stay."""
+        found = found[np.lexsort((found["id"], found["known"], -found["score"], found["query"]))]
+        first = np.searchsorted(found["query"], np.arange(len(least)))
+        size = np.searchsorted(found["query"], np.arange(len(least)), "right") - first
+        full = np.flatnonzero(size >= k)
+        least[full] = found["score"][first[full] + k - 1]
+        new = np.r_[True, (found["query"][1:] != found["query"][:-1]) | (found["score"][1:] != found["score"][:-1])][: len(found)]
+        starts = np.flatnonzero(new)
+        among = np.arange(len(found)) - np.repeat(starts, np.diff(np.r_[starts, len(found)]))
+        return found[(found["score"] >= least[found["query"]] - MARGIN) & (among < k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, weights = held.value
+        vocabulary, least = pa.array(terms, pa.string()), np.full(len(names), -np.inf)
+        kept = np.zeros(0, [("query", np.int32), ("score", float), ("known", bool), ("id", np.int64)])
+        step = max(1, BLOCK_VALUES // max(1, len(terms), len(names)))
+        for batch in (x.slice(i, step) for x in batches for i in range(0, x.num_rows, step)):
+            pairs, sizes = batch.column(2).flatten(), pc.list_value_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(pairs.field("term"), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+            tf, row = pairs.field("tf").to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(sizes)), sizes)
+            length = batch.column(1).to_numpy(zero_copy_only=False)[row]
+            used = at >= 0
+            block = np.zeros((len(sizes), len(terms)))
+            block[row[used], at[used]] = (tf / (tf + k1 * (1 - b + b * length / (n_tokens / n_docs))))[used]
+            scores = block @ weights
+            d, q = np.nonzero((scores > 0) & (scores >= least - MARGIN))
+            ids = batch.column(0)
+            made = np.zeros(len(d), kept.dtype)
+            made["query"], made["score"] = q, scores[d, q]
+            made["known"], made["id"] = ids.is_valid().to_numpy(zero_copy_only=False)[d], ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)[d]
+            kept = best(np.concatenate([kept, made]), least)
+        ids = pa.array(kept["id"], mask=~kept["known"]).cast(id_types[0])
+        yield pa.RecordBatch.from_arrays([pa.array(names, id_types[1]).take(pa.array(kept["query"])), ids, pa.array(kept["score"])], ["query_id", "doc_id", "score"])
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {index.rows.schema['doc_id'].dataType.simpleString()}, score double"
+    return index.rows.select("doc_id", "doc_len", "counts").mapInArrow(run, schema)
+
+
 def tf_idf(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score: sum of tf ln(N / (1 + df)), in linear scale and with its sign."""
     index = narrowed(index, queries)
     stats = with_statistics(index, queries.select("query_id", "term").distinct())
-    rows = index.postings.join(stats, "term")
+    rows = index.postings.join(few(stats, queries), "term")
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.log(F.col("n_docs") / (1 + F.col("df")))).alias("score"))
 
 
@@ -123,8 +204,10 @@ def query_likelihood(index: Index, queries: DataFrame, smoothing, background: Ca
     p = background or (lambda cf, n: cf / n)
     stats = with_statistics(index, queries).withColumn("p", p(F.col("cf"), F.col("n_tokens")).cast("double"))
     query = stats.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight", "p"))).alias("terms"))
-    held = candidates(index, queries).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
-    rows = held.join(query, "query_id").join(index.documents.select("doc_id", "doc_len"), "doc_id")
+    found = candidates(index, few(queries, queries))
+    key = [c for c in ("query_id", "doc_id", "doc_len") if c in found.columns]
+    held = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
+    rows = with_lengths(index, held.join(few(query, queries), "query_id"))
 
     def term(t: Column) -> Column:
         tf = F.coalesce(F.element_at("tfs", t["term"]), F.lit(0)).cast("double")
