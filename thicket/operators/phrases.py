@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from thicket.functions.batches import parts
 from thicket.functions.text import merge_positions
 from thicket.scratch import materialize
 
 #: A phrase table with up to so many rows is broadcast (some 100 bytes each).
 BROADCAST_PHRASES = 100_000
+#: Different first tokens of phrases that are looked for before windows are made.
+FIRST_TOKENS = 1_000
+#: Tokens that a worker walks at a time (some 100 bytes each, and as many for what is found).
+PART_TOKENS = 200_000
 
 
 class Trie:
@@ -73,8 +78,15 @@ class Trie:
                 best = (i + 1, node[Trie._END])
         return best
 
-    def sequential(self, tokens: Sequence[Hashable]) -> Iterator[tuple[int, int, object | None]]:
-        """start, end, value of leftmost longest matches; value None for a token outside any."""
+    def sequential(self, tokens: Sequence[Hashable], matched: bool = False) -> Iterator[tuple[int, int, object | None]]:
+        """start, end, value of leftmost longest matches; value None for a token outside any, which ``matched`` leaves out."""
+        if matched:
+            end = 0
+            for i in [i for i, t in enumerate(tokens) if t in self.root]:
+                if i >= end and (found := self.longest(tokens, i)):
+                    end = found[0]
+                    yield i, *found
+            return
         i = 0
         while i < len(tokens):
             end, value = self.longest(tokens, i) or (i + 1, None)
@@ -97,9 +109,10 @@ def _runs(tokens: str, k: int) -> Column:
     return F.transform(shifted(F.coalesce(tokens, F.array().cast("array<string>")), k), lambda z, i: F.struct(i.alias("start"), F.array(*(z.getField(str(j)) for j in range(k))).alias("phrase_tokens")))
 
 
-def windows(docs: DataFrame, lengths: Sequence[int], tokens: str = "tokens") -> DataFrame:
-    """doc columns, start, phrase_tokens: each run of as many tokens as a phrase can have."""
-    found = F.concat(*(_runs(tokens, k) for k in lengths))
+def windows(docs: DataFrame, lengths: Sequence[int], tokens: str = "tokens", first: Sequence[str] | None = None) -> DataFrame:
+    """doc columns, start, phrase_tokens: each run of as many tokens as a phrase can have, which begins with one of ``first``."""
+    begins = (lambda runs: runs) if first is None else (lambda runs: F.filter(runs, lambda r: r["phrase_tokens"][0].isin(first)))
+    found = F.concat(*(begins(_runs(tokens, k)) for k in lengths))
     return docs.withColumn("_w", F.explode(found)).select(*docs.columns, "_w.start", "_w.phrase_tokens")
 
 
@@ -116,7 +129,8 @@ def overlapping(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens") ->
         return docs.drop(tokens).withColumn("_none", F.lit(0)).join(table.limit(0), F.lit(False)).select(*(c for c in docs.columns if c != tokens), "phrase_id", F.lit(0).alias("start"), F.lit(0).alias("length"))
     if phrases.count() <= BROADCAST_PHRASES:
         table = F.broadcast(table)
-    found = windows(docs, lengths, tokens).join(table, "phrase_tokens")
+    first = [r[0] for r in phrases.where(F.size("tokens") > 0).select(F.col("tokens")[0]).distinct().limit(FIRST_TOKENS + 1).collect()]
+    found = windows(docs, lengths, tokens, first if len(first) <= FIRST_TOKENS and None not in first else None).join(table, "phrase_tokens")
     return found.select(*(c for c in docs.columns if c != tokens), "phrase_id", "start", F.size("phrase_tokens").alias("length"))
 
 
@@ -135,9 +149,11 @@ def contains_all(tokens: Column, wanted: Sequence[str]) -> Column:
     return F.size(F.array_intersect(tokens, F.array(*map(F.lit, sorted(set(wanted)))))) == len(set(wanted))
 
 
-def longest_matches(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens") -> DataFrame:
+def longest_matches(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", matched: bool = False) -> DataFrame:
     """doc_id, start, end, phrase_id (null outside any phrase): leftmost longest, without overlaps.
 
+    With ``matched`` the tokens outside any phrase have no rows.
+
     Of equal phrases the largest id counts; phrases without tokens match
     nothing. Up to ``BROADCAST_PHRASES`` phrases travel to every worker as a
     trie; more are joined with the documents' windows.
@@ -145,15 +161,15 @@ def longest_matches(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens")
     distinct = phrases.where(F.size("tokens") > 0).groupBy("tokens").agg(F.max("phrase_id").alias("phrase_id"))
     named = docs.select("doc_id", F.col(tokens).alias("tokens"))
     if distinct.count() > BROADCAST_PHRASES:
-        return longest_joined(named, distinct)
+        return longest_joined(named, distinct, matched)
     kind = phrases.schema["phrase_id"].dataType
     entries = [(tuple(r.tokens), r.phrase_id) for r in distinct.collect()]
     held = docs.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(held.value)
-        for batch in batches:
-            yield _match_rows(batch.column(0), (trie.sequential(row or []) for row in batch.column(1).to_pylist()), to_arrow_type(kind))
+        for batch in (p for b in batches for p in parts(b, 1, PART_TOKENS)):
+            yield _match_rows(batch.column(0), (trie.sequential(row or [], matched) for row in batch.column(1).to_pylist()), to_arrow_type(kind))
 
     return named.mapInArrow(run, _match_schema(docs, kind))
 
@@ -174,19 +190,31 @@ def _match_rows(ids: pa.Array, found: Iterable[Iterable[tuple[int, int, object]]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "phrase_id"])
 
 
-def longest_joined(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+def longest_joined(docs: DataFrame, phrases: DataFrame, matched: bool = False) -> DataFrame:
     """``longest_matches`` of documents (doc_id, tokens) for distinct phrases of any number.
 
     The longest phrase at each place comes from a join; then one document's
-    places at a time are walked from left to right.
+    places at a time are walked from left to right. With ``matched`` documents
+    and tokens outside any phrase have no rows, and the tokens aren't met again.
     """
     kind = phrases.schema["phrase_id"].dataType
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "phrase-rows")
-    places = overlapping(rows.select("_row", "tokens"), phrases).groupBy("_row", "start").agg(F.max(F.struct("length", "phrase_id")).alias("m"))
-    longest = places.groupBy("_row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("m.length")).alias("end"), F.col("m.phrase_id").alias("value"))).alias("places"))
-    joined = rows.join(longest, "_row", "left").select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"), "places")
+    key = ["_row", "doc_id"] if matched else ["_row"]
+    places = overlapping(rows.select(*key, "tokens"), phrases).groupBy(*key, "start").agg(F.max(F.struct("length", "phrase_id")).alias("m"))
+    longest = places.groupBy(*key).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("m.length")).alias("end"), F.col("m.phrase_id").alias("value"))).alias("places"))
+    if matched:
+        joined = longest.select("doc_id", F.lit(0).alias("n"), "places")
+    else:
+        joined = rows.join(longest, "_row", "left").select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"), "places")
 
     def walk(n: int, places: list[dict]) -> Iterator[tuple[int, int, object]]:
+        if matched:
+            end = 0
+            for p in sorted(places, key=lambda p: p["start"]):
+                if p["start"] >= end:
+                    end = p["end"]
+                    yield p["start"], end, p["value"]
+            return
         at = {p["start"]: (p["end"], p["value"]) for p in places}
         i = 0
         while i < n:
